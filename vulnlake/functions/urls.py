@@ -46,6 +46,12 @@ def base_repo_url(url: Column) -> Column:
     return F.concat(F.lit("https://"), host(url), F.lit("/"), F.array_join(parts, "/"))
 
 
+def github_base(url: Column, www: bool = False) -> Column:
+    """Base url of a GitHub page, NULL for any other url; one pattern, so it stays cheap to repeat in a plan."""
+    hosts = r"www\.github\.com" if www else r"github\.com"
+    return F.concat(F.lit("https://"), group(url, rf"(?i)^[a-z]+://({hosts}/+[^/?#]+/[^/?#]+)", 1))
+
+
 def is_github_repo(url: Column) -> Column:
     return F.coalesce(url.rlike(K.GITHUB_REPO), F.lit(False))
 
@@ -135,21 +141,17 @@ def normal_ecosystem(name: Column) -> Column:
 
 
 def package_name(url: Column) -> Column:
-    """Package a registry page is about."""
-    clean = without_query(url)
-    by_ecosystem = {
-        "NPM": group(path(clean), r"^/package/(.+)", 1),
-        "GO": F.when(~path(clean).startswith("/vuln/GO-"),
-                     not_blank(F.regexp_replace(path(without_query(url, "@")), "^/+|/+$", ""))),
-        "RUBYGEMS": F.try_element_at(F.split(clean, "/"), F.lit(5)),
-        "COMPOSER": F.regexp_replace(group(path(clean), r"^/packages/(.+)", 1), r"\.json$", ""),
-        "PYPI": group(clean, K.PYPI_PROJECT, 1),
-        "CARGO": group(clean, K.CRATE_PAGE, 1),
-        "NUGET": group(clean, K.NUGET_PAGE, 1),
-    }
-    ecosystem = registry_ecosystem(clean)
-    cases = [F.when(ecosystem == name, expr) for name, expr in by_ecosystem.items()]
-    return F.coalesce(*cases)
+    """Package a registry page is about; at most one of the patterns fits, so the parts are simply joined."""
+    patterns = [
+        r"^https?://(?:www\.)?npmjs\.com/package/([^?#]+)",
+        r"^https?://(?:www\.)?pkg\.go\.dev/+(?!vuln/GO-)([^?#@]*[^?#@/])",
+        r"^https?://(?:www\.)?rubygems\.org/[^/?#]*/([^/?#]*)",
+        r"^https?://(?:www\.)?packagist\.org/packages/([^?#]+?)(?:\.json)?(?:[?#]|$)",
+        r"^https?://(?:www\.)?pypi\.org/project/([^/?#]*)",
+        K.CRATE_PAGE,
+        K.NUGET_PAGE,
+    ]
+    return not_blank(F.concat(*[F.regexp_extract(url, p, 1) for p in patterns]))
 
 
 def cpe_product(name: Column) -> Column:

@@ -34,12 +34,8 @@ def link_candidates(
     """
     url = F.col("url")
     commit = url.rlike(K.COMMIT_URL)
-    base = U.base_repo_url(U.resource_repo(url)) if resource_only else U.base_repo_url(url)
-    own = F.when((U.host(url) == "github.com") & U.is_github_repo(base), base)
-    www = U.base_repo_url(U.without_query(url))
-    other_host = F.when(
-        (U.plain_host(url) == "github.com") & (U.host(url) != "github.com") & U.is_github_repo(www), www
-    )
+    own = U.github_base(U.resource_repo(url) if resource_only else url)
+    other_host = U.github_base(url, www=True)
     direct = (
         refs.withColumn("link", F.when(commit, url).otherwise(F.coalesce(own, other_host)))
         .withColumn("class", F.when(commit, 1).when(own.isNotNull(), 2).otherwise(3))

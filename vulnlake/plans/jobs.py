@@ -49,3 +49,13 @@ def sample_per_repository(commits: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` random commits of every repository."""
     drawn = commits.withColumn("_draw", F.xxhash64(F.lit(seed), F.col("commit_id")))
     return top_k_per_key(drawn, ["repo_url"], [F.col("_draw")], n, "_rank").drop("_draw", "_rank")
+
+
+def placeholder_repositories(repos: DataFrame) -> DataFrame:
+    """Rows for repositories whose metadata is still to come."""
+    unknown = ["repo_name", "description", "date_created", "date_last_push", "homepage", "repo_language", "forks_count", "stars_count"]
+    return (
+        repos.filter(F.contains("repo_url", F.lit("/")))
+        .select("repo_url", *[F.lit("visit repo url").alias(c) for c in unknown],
+                F.element_at(F.split("repo_url", "/"), -2).alias("owner"))
+    )
