@@ -209,7 +209,7 @@ def _(d):
       SELECT doc_id, i, min((a * h + b) % {M.PRIME}) AS m
       FROM {HASHES} CROSS JOIN (VALUES {_permutations(128)}) p(i, a, b) GROUP BY doc_id, i) GROUP BY doc_id""")
 def _(d):
-    signed = d("v_message").select("doc_id", M.signature(_msg()).alias("s"))
+    signed = d("v_message").select("doc_id", M.signature(M.token_hashes(_msg())).alias("s"))
     return signed.select("doc_id", F.array_min("s").alias("lowest"), F.array_max("s").alias("highest"))
 
 
