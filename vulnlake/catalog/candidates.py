@@ -68,9 +68,9 @@ def _(d):
 
 @query("joi_15_keywords_in_descriptions", """
     SELECT DISTINCT cve_id AS id, p_type AS project FROM v_cve JOIN (SELECT DISTINCT p_type, split_part(p_name, ' ', 2) AS keyword
-      FROM part WHERE p_brand = 'Brand#5' AND p_size < 10) ON contains(description, keyword)""")
+      FROM part) ON contains(description, keyword)""")
 def _(d):
-    words = d("part").filter("p_brand = 'Brand#5' AND p_size < 10").select(
+    words = d("part").select(
         F.col("p_type").alias("project"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("keyword")).distinct()
     return C.keyword_matches(d("v_cve").select(F.col("cve_id").alias("id"), F.col("description").alias("text")), words)
 

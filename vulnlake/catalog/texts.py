@@ -223,10 +223,10 @@ DOC_SETS = SETS.format(id="doc_id", n="n_docs", table="documents")
     WITH s AS (SELECT doc_id, n_docs, tokens, len(tokens) AS n FROM {DOC_SETS}),
          q AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT 1000000000000 + doc_id, text FROM documents),
          qs AS (SELECT query_id, n_queries, tokens, len(tokens) AS n FROM {SETS.format(id="query_id", n="n_queries", table="q")}),
-         pairs AS (SELECT query_id, n_queries, doc_id, n_docs, qs.n + s.n AS both, len(list_intersect(qs.tokens, s.tokens)) AS i
+         pairs AS (SELECT query_id, n_queries, doc_id, n_docs, qs.n + s.n AS total, len(list_intersect(qs.tokens, s.tokens)) AS i
                    FROM qs JOIN s ON qs.n >= s.n * 0.8 - 1e-9 AND s.n >= qs.n * 0.8 - 1e-9 AND
                    (qs.tokens[1] = s.tokens[1] OR list_has_any(qs.tokens[:greatest(1, qs.n // 5 + 2)], s.tokens[:greatest(1, s.n // 5 + 2)])))
-    SELECT query_id, n_queries, doc_id, n_docs, round(i / (both - i), 9) AS jaccard FROM pairs WHERE i / (both - i) >= 0.8""")
+    SELECT query_id, n_queries, doc_id, n_docs, round(i / (total - i), 9) AS jaccard FROM pairs WHERE i / (total - i) >= 0.8""")
 def _(d):
     docs = d("documents").select("doc_id", "text")
     asked = d("benchmark").select(F.col("item_id").alias("query_id"), "text").unionByName(
