@@ -334,3 +334,40 @@ def _(d):
         .withColumn("blacklisted", U.is_blacklisted(F.col("project_url")))
     )
     return rows.select("cve", "project_url", R.pair_status(rows).alias("checked"))
+
+
+def ranking_inputs(d):
+    """Advisories, commits and linked pages of the ranking job from whole tables."""
+    commits = features_input(d)
+    item = F.col("item_id").cast("string")
+    advisories = d("v_advisory_text").select(
+        "cve_id", F.col("repository").alias("repo_url"), F.to_timestamp(F.lit("2024-01-20 00:00:00")).alias("reserved"),
+        X.alphanumeric_tokens(F.col("description"), 3).alias("keywords"), X.affected_files(F.col("description")).alias("files"),
+        F.array().cast("array<string>").alias("extensions"),
+        F.map_from_arrays(F.array(F.concat("repository", F.lit("/issues/"), item)), F.array(F.lit(2))).alias("references"))
+    weights = d("v_advisory_text").select(
+        "cve_id", F.concat(F.lit("commit::"), F.md5((F.col("item_id") * 20).cast("string"))).alias("ref"), F.lit(2).alias("weight"))
+    return advisories, commits, weights
+
+
+def features_input(d):
+    first = F.split_part(F.split_part("text", F.lit(" "), F.lit(1)), F.lit("\n"), F.lit(1))
+    day = (F.col("doc_id") % 90).cast("int")
+    return (
+        d("v_message").join(d("documents").select("doc_id", "text"), "doc_id")
+        .select("commit_id", F.col("repository").alias("repo_url"),
+                (F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(day)).alias("ts"), "message",
+                F.array(F.concat(F.lit("src/"), F.lower(first), F.lit("/main.c"))).alias("changed_files"),
+                F.split("text", "\n").alias("diff"))
+    )
+
+
+@query("job_06_ranked_candidates")
+def _(d):
+    from vulnlake.plans.jobs import rank_candidates
+
+    advisories, commits, weights = ranking_inputs(d)
+    mentions = commits.select(F.col("repo_url").alias("repository"), F.explode(X.issue_ids(F.col("message"))).alias("issue_id")).distinct()
+    issues = mentions.join(d("v_linked_issue"), "issue_id").select("repository", "issue_id", "content")
+    kept, _twins = rank_candidates(advisories, commits, weights, issues, issues.limit(0))
+    return kept.select("cve_id", "repo_url", "commit_id", "relevance", "rank")

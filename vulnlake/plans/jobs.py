@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnlake import constants as K
+from vulnlake import schema as S
 from vulnlake.functions import urls as U
-from vulnlake.operators.keyed import top_k_per_key
+from vulnlake.functions.diffs import diff_lines
+from vulnlake.operators import candidates as C
+from vulnlake.operators import links as L
+from vulnlake.operators import ranking as R
+from vulnlake.operators import rules as RU
+from vulnlake.operators import twins as TW
+from vulnlake.operators.changes import file_rows, method_rows
+from vulnlake.operators.keyed import first_per_key, top_k_per_key
+from vulnlake.operators.tables import conform
+from vulnlake.sources import feeds
 
 
 def map_cpe_to_cve(projects: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -59,3 +71,128 @@ def placeholder_repositories(repos: DataFrame) -> DataFrame:
         .select("repo_url", *[F.lit("visit repo url").alias(c) for c in unknown],
                 F.element_at(F.split("repo_url", "/"), -2).alias("owner"))
     )
+
+
+# --- building the dataset -------------------------------------------------------------------------------
+
+
+def build_cve_tables(spark: SparkSession, nvd: str, cwe: str) -> dict[str, DataFrame]:
+    """``cve``, ``cwe`` and ``cwe_classification`` from the landed feeds."""
+    cve = feeds.flatten_cve(feeds.read_nvd(spark, nvd))
+    return {"cve": cve, "cwe": feeds.read_cwe(spark, cwe), "cwe_classification": feeds.weaknesses(cve)}
+
+
+def link_references(cve: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``fixes`` and ``cve_project`` rows from the references of the CVEs."""
+    fixes, projects = L.project_links(feeds.references(cve), packages)
+    scored = fixes.withColumn("score", F.lit(K.REFERENCED_FIX_SCORE))
+    return (
+        conform(scored, S.FIXES, S.FIXES_DEFAULTS).dropDuplicates(S.FIXES_KEY),
+        conform(projects, S.CVE_PROJECT, S.CVE_PROJECT_DEFAULTS).dropDuplicates(S.CVE_PROJECT_KEY),
+    )
+
+
+def link_advisories(advisories: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fixes and project rows of every CVE alias of the advisories; one fix per CVE and repository."""
+    links = L.advisory_links(feeds.advisory_refs(advisories), feeds.advisory_packages(advisories), packages)
+    rows = advisories.select(F.col("id").alias("advisory_id"), F.explode("cve_ids").alias("cve_id")).join(links, "advisory_id")
+    kind = F.concat(F.lit("GHSD_"), F.col("rel_type"))
+    direct = F.col("rel_type") == K.DIRECT_COMMIT
+    fixes = rows.filter(direct).select(
+        "cve_id", U.commit_hash(F.col("link")).alias("hash"), U.commit_repo(F.col("link")).alias("repo_url"),
+        kind.alias("rel_type"), F.lit(K.REFERENCED_FIX_SCORE).alias("score"), "advisory_id")
+    first = first_per_key(fixes, ["cve_id", "repo_url"], [F.col("advisory_id")])
+    projects = rows.filter(~direct).select(F.col("cve_id").alias("cve"), F.col("link").alias("project_url"), kind.alias("rel_type"))
+    once = first_per_key(projects, S.CVE_PROJECT_KEY, [F.col("rel_type")])
+    return conform(first, S.FIXES, S.FIXES_DEFAULTS), conform(once, S.CVE_PROJECT, S.CVE_PROJECT_DEFAULTS)
+
+
+def link_cpe(dictionary: DataFrame, packages: DataFrame, cpe_of_cves: DataFrame, known_repos: DataFrame) -> DataFrame:
+    """Repository of every product: best dictionary link, else a known repository of the same name."""
+    best = L.best_links(dictionary, "cpe_name", packages).filter(F.col("link").isNotNull())
+    direct = F.col("rel_type") == K.DIRECT_COMMIT
+    linked = best.select(
+        "cpe_name", F.when(direct, U.base_repo_url(F.col("link"))).otherwise(F.col("link")).alias("repo_url"), "rel_type")
+    missing = cpe_of_cves.select("cpe_name").distinct().join(linked, "cpe_name", "left_anti")
+    return linked.unionByName(L.guessed_repos(missing, known_repos))
+
+
+def build_change_tables(changes: DataFrame, spans: DataFrame) -> dict[str, DataFrame]:
+    """Commit, file and method tables from stored change records.
+
+    ``changes``: ``hash, repo_url, msg, .., modified_files``; ``spans``: method spans ``(hash, old_path, new_path,
+    side, name, signature, parameters, start_line, end_line)``.
+    """
+    files = file_rows(changes)
+    keys = files.select("hash", "old_path", "new_path", "file_change_id")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("old_path", "new_path")]
+    placed = (
+        spans.alias("s").join(keys.alias("k"), (F.col("s.hash") == F.col("k.hash")) & same[0] & same[1])
+        .select("k.file_change_id", "s.side", "s.name", "s.signature", "s.parameters", "s.start_line", "s.end_line")
+    )
+    lines = diff_lines(files, "file_change_id", "diff").select("file_change_id", "side", "line")
+    commits = first_per_key(
+        changes.drop("modified_files").withColumn("repo_url", U.clean_git_url(F.col("repo_url"))), ["hash", "repo_url"], [F.col("msg")])
+    return {"commits": commits, "file_change": files, "method_change": method_rows(files, placed, lines)}
+
+
+# --- ranking ------------------------------------------------------------------------------------------------
+
+
+def candidate_pairs(
+    advisories: DataFrame, commits: DataFrame, weights: DataFrame, before: int, after: int, limit: int
+) -> DataFrame:
+    """Candidates ``(cve_id, repo_url, commit_id, ts, position)`` of every advisory in one plan.
+
+    Around a commit the references name, if it is in the repository; else around the reserved date.  Filtered,
+    cut to the nearest ``limit``, and joined by the named commits themselves.
+    """
+    extension = F.transform("changed_files", lambda f: F.element_at(F.split(f, r"\."), -1))
+    narrow = commits.select("commit_id", "repo_url", "ts", F.array_distinct(extension).alias("_ext"),
+                            C.is_candidate(F.col("message"), F.col("changed_files")).alias("_usable"))
+    slim = advisories.select("cve_id", "repo_url", "reserved", "extensions")
+    wanted = (F.size("extensions") == 0) | F.arrays_overlap("_ext", "extensions")
+    named_refs = L.fixing_commits(weights).select("cve_id", F.concat(F.lit("commit::"), "commit_id").alias("ref"))
+    named = C.mentioned(named_refs, slim, narrow)
+    known = named.select("cve_id", "repo_url", F.col("ts").alias("author_ts"), F.col("ts").alias("commit_ts")).distinct()
+    usable = narrow.filter("_usable")
+    around_fix = (
+        C.twin_window(known, narrow).filter("_usable").drop("author_ts", "commit_ts", "width")
+        .join(slim, ["cve_id", "repo_url"]).select("cve_id", "repo_url", "commit_id", "ts", "reserved")
+    )
+    around_date = (
+        C.within_days(slim.join(known, R.PAIR, "left_anti"), usable, before, after).filter(wanted)
+        .select("cve_id", "repo_url", "commit_id", "ts", "reserved")
+    )
+    near = C.nearest(around_fix.unionByName(around_date).distinct(), limit).drop("reserved")
+    extra = named.select("cve_id", "repo_url", "commit_id", "ts").join(near, [*R.PAIR, "commit_id"], "left_anti")
+    return near.unionByName(extra.withColumn("position", F.lit(limit + 1)))
+
+
+def rank_candidates(
+    advisories: DataFrame, commits: DataFrame, weights: DataFrame, issues: DataFrame, tickets: DataFrame,
+    rules: Sequence[str] = ("ALL",), before: int = K.WINDOW_DAYS, after: int = K.WINDOW_DAYS,
+    limit: int = K.MAX_CANDIDATES, message_chars: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Ranked commits of every (CVE, repository) and the twins of the kept ones.
+
+    ``advisories``: ``cve_id, repo_url, reserved, keywords, files, extensions, references``; ``commits``:
+    ``commit_id, repo_url, ts, message, changed_files, diff``.  ``message_chars`` cuts messages before twins are
+    looked for; by default whole messages count.
+    """
+    pairs = candidate_pairs(advisories, commits, weights, before, after, limit)
+    used = commits.join(pairs.select("repo_url", "commit_id").distinct(), ["repo_url", "commit_id"], "left_semi")
+    renamed = used.withColumnRenamed("repo_url", "repository").withColumn("changed_files", C.relevant_files(F.col("changed_files")))
+    features = RU.precompute(RU.commit_features(renamed.drop("ts"), issues, tickets)).withColumn("repo_url", F.col("repository"))
+    bands = pairs.select(*R.PAIR, "commit_id").join(
+        TW.band_rows(used, ["repo_url"], "commit_id", "message", message_chars), ["repo_url", "commit_id"])
+    twins = TW.with_twins(bands, R.PAIR, "commit_id").withColumn("has_twins", F.lit(True))
+    rows = (
+        pairs.join(features, ["repo_url", "commit_id"])
+        .join(advisories.drop("reserved", "extensions"), R.PAIR)
+        .join(twins, [*R.PAIR, "commit_id"], "left")
+        .withColumn("has_twins", F.coalesce("has_twins", F.lit(False)))
+    )
+    ranked = R.rank(RU.apply_rules(rows, rules), F.col("position"))
+    kept = TW.remove_twins(ranked, bands, R.PAIR, "commit_id", "rank")
+    return kept, TW.twins_of_kept(kept, bands, R.PAIR, "commit_id")

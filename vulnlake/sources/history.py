@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vulnlake import constants as K
 from vulnlake import schema as S
@@ -24,16 +25,28 @@ def read_git_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_log_parts(parts: DataFrame) -> DataFrame:
-    from pyspark.sql.window import Window
+    """Parts ``(file, _block, _id, value)`` to commits, one window per file split.
 
+    A commit at the end of a split needs the first two parts of the next one; those few parts are copied over,
+    so a long log is never sorted as a whole.
+    """
     header = r"^\s*([0-9a-f]{6,40}):(\d+):([0-9a-f ]*)\s*$"
-    w = Window.partitionBy("file").orderBy("_block", "_id")
+    splits = parts.select("file", "_block").distinct()
+    before = splits.withColumn("_before", F.lag("_block").over(Window.partitionBy("file").orderBy("_block")))
+    inside = Window.partitionBy("file", "_block").orderBy("_id")
+    numbered = parts.withColumn("_n", F.row_number().over(inside))
+    copied = (
+        numbered.filter("_n <= 2").join(before.filter("_before is not null"), ["file", "_block"])
+        .select("file", F.col("_before").alias("_block"), "_id", "value", F.lit(1).alias("_copy"))
+    )
+    w = Window.partitionBy("file", "_block").orderBy("_copy", "_id")
     lines = F.filter(F.split("_files", "\n"), lambda x: F.trim(x) != "")
     text = F.filter(F.split("_message", "\n"), lambda x: F.trim(x) != "")
     return (
-        parts.withColumn("_message", F.lead("value", 1).over(w))
+        numbered.drop("_n").withColumn("_copy", F.lit(0)).unionByName(copied)
+        .withColumn("_message", F.lead("value", 1).over(w))
         .withColumn("_files", F.lead("value", 2).over(w))
-        .filter(F.col("value").rlike(header))
+        .filter((F.col("_copy") == 0) & F.col("value").rlike(header))
         .select(
             "file", F.regexp_extract("value", header, 1).alias("commit_id"),
             F.regexp_extract("value", header, 2).cast("long").alias("timestamp"),
