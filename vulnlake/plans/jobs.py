@@ -19,6 +19,7 @@ from vulnlake.operators import twins as TW
 from vulnlake.operators.changes import file_rows, method_rows
 from vulnlake.operators.keyed import first_per_key, top_k_per_key
 from vulnlake.operators.tables import conform
+from vulnlake.session import cut_lineage
 from vulnlake.sources import feeds
 
 
@@ -153,7 +154,7 @@ def candidate_pairs(
     slim = advisories.select("cve_id", "repo_url", "reserved", "extensions")
     wanted = (F.size("extensions") == 0) | F.arrays_overlap("_ext", "extensions")
     named_refs = L.fixing_commits(weights).select("cve_id", F.concat(F.lit("commit::"), "commit_id").alias("ref"))
-    named = C.mentioned(named_refs, slim, narrow)
+    named = cut_lineage(C.mentioned(named_refs, slim, narrow))
     known = named.select("cve_id", "repo_url", F.col("ts").alias("author_ts"), F.col("ts").alias("commit_ts")).distinct()
     usable = narrow.filter("_usable")
     around_fix = (
@@ -180,12 +181,13 @@ def rank_candidates(
     ``commit_id, repo_url, ts, message, changed_files, diff``.  ``message_chars`` cuts messages before twins are
     looked for; by default whole messages count.
     """
-    pairs = candidate_pairs(advisories, commits, weights, before, after, limit)
+    # pairs, bands and scores feed several later steps; reliable checkpoints keep them from being computed again
+    pairs = cut_lineage(candidate_pairs(advisories, commits, weights, before, after, limit))
     used = commits.join(pairs.select("repo_url", "commit_id").distinct(), ["repo_url", "commit_id"], "left_semi")
     renamed = used.withColumnRenamed("repo_url", "repository").withColumn("changed_files", C.relevant_files(F.col("changed_files")))
     features = RU.precompute(RU.commit_features(renamed.drop("ts"), issues, tickets)).withColumn("repo_url", F.col("repository"))
-    bands = pairs.select(*R.PAIR, "commit_id").join(
-        TW.band_rows(used, ["repo_url"], "commit_id", "message", message_chars), ["repo_url", "commit_id"])
+    bands = cut_lineage(pairs.select(*R.PAIR, "commit_id").join(
+        TW.band_rows(used, ["repo_url"], "commit_id", "message", message_chars), ["repo_url", "commit_id"]))
     twins = TW.with_twins(bands, R.PAIR, "commit_id").withColumn("has_twins", F.lit(True))
     rows = (
         pairs.join(features, ["repo_url", "commit_id"])
@@ -193,6 +195,6 @@ def rank_candidates(
         .join(twins, [*R.PAIR, "commit_id"], "left")
         .withColumn("has_twins", F.coalesce("has_twins", F.lit(False)))
     )
-    ranked = R.rank(RU.apply_rules(rows, rules), F.col("position"))
+    ranked = cut_lineage(R.rank(RU.apply_rules(rows, rules), F.col("position")))
     kept = TW.remove_twins(ranked, bands, R.PAIR, "commit_id", "rank")
     return kept, TW.twins_of_kept(kept, bands, R.PAIR, "commit_id")
