@@ -475,12 +475,6 @@ def _(d):
     return first_per_key(d("v_fixes").select("cve_id", "repo_url", "hash"), ["cve_id", "repo_url"], [F.col("hash")])
 
 
-SCORED = """SELECT cve_id, repo_url, hash, max(score) - 100 AS score FROM (
-      SELECT 'CVE' || cast(o_custkey AS string) AS cve_id, repo_url, hash, score
-      FROM v_fixes JOIN orders ON cve_id = 'CVE-' || cast(year(o_orderdate) AS string) || '-'
-                                           || cast(o_orderkey + 1000 AS string)) GROUP BY 1, 2, 3"""
-
-
 @query("win_06_top_ten_commits", f"""
     SELECT * FROM (SELECT repo_url, hash, score, row_number() OVER (PARTITION BY repo_url ORDER BY score DESC, hash) AS rank
       FROM (SELECT repo_url, hash, max(score) - 200 AS score FROM v_fixes GROUP BY 1, 2)) WHERE rank <= 10 AND score > 0""")
