@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnlake.llm import licenses, mixing, packing, toxicity
+from vulnlake.llm import licenses, mixing, packing, pii, toxicity
 from vulnlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_toxicity")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_personal_data")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.annotate(table(spark, folder, "documents"))
