@@ -185,3 +185,23 @@ def connected(spark: SparkSession, links: DataFrame, most: int = 60) -> DataFram
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+
+
+def bit_map(rows: DataFrame, column: str, bits: int):
+    """Broadcast bit map of ``bits`` bits (a power of two, whatever the input) with the column's values set.
+
+    It answers "maybe" for values that were never set once it fills up; use it only to spare work.
+    """
+    at = F.pmod(F.col(column), F.lit(bits)).cast("long")
+    bucket = F.shiftright(at, 15).alias("_bucket")
+    parts = rows.select(bucket, at.bitwiseAND(32767).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        own = np.frombuffer(bytes(r["_map"]), np.uint8)
+        out[r["_bucket"] << 12 : (r["_bucket"] << 12) + len(own)] = own[: bits // 8]
+    return rows.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bit_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values.astype(np.int64) & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
