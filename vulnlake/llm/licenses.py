@@ -19,6 +19,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,10 +98,9 @@ def postings(templates: Sequence[Template] = TEMPLATES, rare: int = 8) -> list[P
     return out
 
 
-def rarest(index: Sequence[Posting], templates: Sequence[Template]) -> list[str]:
-    """One word of each template's key phrase, the one that fewest templates have: no file without it can match."""
-    df = Counter(p.word for p in index)
-    return sorted({min((p.word for p in index if p.template == n and p.in_key), key=lambda w: (df[w], -len(w), w)) for n in range(len(templates))})
+def rarest(templates: Sequence[Template]) -> list[str]:
+    """One word of each template's key phrase, the longest: no file without it can match."""
+    return sorted({max(t.key.split(), key=lambda w: (len(w), w)) for t in templates})
 
 
 def words_of(text: Column) -> Column:
@@ -156,11 +157,15 @@ def scan(
         F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
         F.array_compact(F.array(*[F.when(F.size(f"_p{n}") > 0, label) for n, (_, label) in enumerate(phrases)])).alias("_base"),
     )
-    signs = F.array(*[F.lit(w) for w in rarest(index, templates)])
+    signs = F.array(*[F.lit(w) for w in rarest(templates)])
+    whole_key = F.lit(False)
+    for key in sorted({t.key for t in templates}):
+        whole_key = whole_key | reduce(and_, (F.array_contains("words", w) for w in sorted(set(key.split()), key=lambda w: (-len(w), w))))
     hits = (
-        docs.select(*row, words_of(F.col("text")).alias("words")).filter(F.arrays_overlap("words", signs))
+        docs.select(*row, words_of(F.col("text")).alias("words")).filter(F.arrays_overlap("words", signs)).filter(whole_key)
         .select("doc_id", "_text", F.posexplode("words").alias("at", "word"))
-        .join(known, "word")
+        .filter(F.col("word").isin(sorted({p.word for p in index})))
+        .join(F.broadcast(known), "word")  # as many rows as the templates have words, whatever the input
         .groupBy("doc_id", "_text", "template", (F.col("at") - F.col("position")).alias("begin"), "label", "key_size", "total", "position")
         .agg(F.max("weight").alias("weight"), F.max("in_key").alias("in_key"))
         .groupBy("doc_id", "_text", "template", "begin", "label", "key_size", "total")
