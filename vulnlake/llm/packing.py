@@ -14,25 +14,28 @@ piece.  Only a shard's tails (at most a window a document) and window checksums
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import texts_of
+from vulnlake.llm.common import pieces
 
 WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 512
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
+SIGN = "^"
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
-ODD_SPACE = re.compile(r"[^\S \t\n\r\f\v]")
+#: white space that is not plain ASCII; a text with any is tokenised whole
+ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def default_tokenizer() -> str:
@@ -45,33 +48,84 @@ class WordIds:
     """Token ids of texts, each word tokenised once as long as it is remembered.
 
     The tokenizer never joins characters across white space, so the ids of a text are those of its words one
-    after the other.  Texts with unusual white space are tokenised whole.
+    after the other.  New words of several texts are tokenised together, a sign between each two; words that
+    hold that sign, and texts with unusual white space, are tokenised alone.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = np.dtype("<u4") if self.wide else np.dtype("<u2")
+        self.kind = np.dtype("<u4") if self.tokenizer.get_vocab_size() > 1 << 16 else np.dtype("<u2")
         self.known: dict[str, bytes] = {}
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, self.kind).tobytes()
-
-    def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if ODD_SPACE.search(text):
-                yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-                continue
-            words = text.split()
-            new = [w for w in set(words) if w not in self.known]
-            if new:
-                if len(self.known) + len(new) > CACHED_WORDS:
-                    self.known = {w: self.known[w] for w in set(words).difference(new)}
-                for w in new:
-                    self.known[w] = self._packed(self.tokenizer.encode(w, add_special_tokens=False).ids)
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.kind)
+        self.older: dict[str, bytes] = {}
+        sign = self._ids(SIGN)
+        self.sign = sign[0] if len(sign) == 1 else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember different words; those of the generation before are taken over from it."""
+        new = []
+        for w in words:
+            if w in self.older:
+                self.known[w] = self.older[w]
+            elif not w:
+                self.known[w] = b""
+            elif self.sign is None or SIGN in w or "<|" in w:
+                self.known[w] = np.asarray(self._ids(w), self.kind).tobytes()
+            else:
+                new.append(w)
+        if not new:
+            return
+        ids = np.asarray(self._ids(f" {SIGN} ".join(new)), self.kind)
+        signs = np.flatnonzero(ids == self.sign)
+        if len(signs) != len(new) - 1:
+            raise ValueError("the tokenizer joins words across white space")
+        size = self.kind.itemsize
+        starts = np.append(0, (signs + 1) * size).tolist()
+        ends = np.append(signs * size, len(ids) * size).tolist()
+        packed = ids.tobytes()
+        self.known.update((w, packed[i:j]) for w, i, j in zip(new, starts, ends, strict=True))
+
+    def batch(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Token ids of each text of a column of strings without nulls."""
+        odd = pc.match_substring_regex(column, ODD_SPACE)
+        lists = pc.ascii_split_whitespace(pc.if_else(odd, "", column))
+        words = lists.flatten().dictionary_encode()
+        listed = words.dictionary.to_pylist()
+        if len(self.known) > CACHED_WORDS:
+            self.older, self.known = self.known, {}
+        packed = list(map(self.known.get, listed))
+        new = [i for i, ids in enumerate(packed) if ids is None]
+        if new:
+            self._learn([listed[i] for i in new])
+            for i in new:
+                packed[i] = self.known[listed[i]]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
+        starts = np.cumsum(sizes) - sizes
+        blob = np.frombuffer(b"".join(packed), self.kind)
+        code = words.indices.to_numpy(zero_copy_only=False)
+        length = sizes[code]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = blob[np.repeat(starts[code] - ends[:-1], length) + np.arange(ends[-1])]
+        bounds = ends[pc.list_value_length(lists).to_numpy(zero_copy_only=False).cumsum()]
+        start = 0
+        for i, (end, alone) in enumerate(zip(bounds.tolist(), odd.to_pylist(), strict=True)):
+            yield np.asarray(self._ids(column[i].as_py()), self.kind) if alone else ids[start:end]
+            start = end
+
+
+_LOADED: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The tokenizer of a path, kept with its words while the process lives."""
+    if path not in _LOADED:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _LOADED[path] = WordIds(path)
+    return _LOADED[path]
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -79,15 +133,15 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def _tokenised(batches: Iterable[pa.RecordBatch], path: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    words = WordIds(path)
-    for batch in batches:
+    words = word_ids(path)
+    for batch in pieces(batches, "text"):
         n_tokens, crcs, tails = [], [], []
-        for ids in words.batch(texts_of(batch.column("text"))):
+        for ids in words.batch(batch.column("text").fill_null("")):
             ids = np.append(ids, words.kind.type(end_id))
             whole = len(ids) // window * window
             n_tokens.append(len(ids))
             crcs.append([_crc(ids[i : i + window]) for i in range(0, whole, window)])
-            tails.append(ids[whole:].astype("<u4").tobytes() if words.wide else ids[whole:].tobytes())
+            tails.append(ids[whole:].tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("shard"), batch.column("doc_id").cast(pa.int64()), pa.array(n_tokens, pa.int64()),
              pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())],
@@ -228,7 +282,7 @@ def pack(
         raise ValueError("the window must be a power of two")
     path = tokenizer or default_tokenizer()
     shards = max(1, -(-docs.count() // shard_docs))
-    kind = WordIds(path).kind.str
+    kind = word_ids(path).kind.str
     dealt = docs.select(
         F.pmod(F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id()), F.lit(shards)).alias("shard"),
         F.col("doc_id").cast("long").alias("doc_id"), "text",
