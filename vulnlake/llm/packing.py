@@ -94,7 +94,7 @@ class WordIds:
         odd = pc.match_substring_regex(column, ODD_SPACE)
         lists = pc.ascii_split_whitespace(pc.if_else(odd, "", column))
         words = lists.flatten().dictionary_encode()
-        listed = words.dictionary.to_pylist()
+        listed = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHED_WORDS:
             self.older, self.known = self.known, {}
         packed = list(map(self.known.get, listed))
