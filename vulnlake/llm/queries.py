@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnlake.llm import jaccard_join, licenses, mixing, packing, pii, toxicity
+from vulnlake.llm import jaccard_join, licenses, mixing, packing, pii, quality, toxicity
 from vulnlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_jaccard_join")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, folder, "documents"))
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents")).drop("distance")
