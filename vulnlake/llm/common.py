@@ -78,7 +78,8 @@ def powers(base: int, n: int) -> np.ndarray:
         more = min(done, n - done)
         out[done : done + more] = out[:more] * step
         done += more
-        step = step * step
+        with np.errstate(over="ignore"):
+            step = step * step
     return out[:n]
 
 
