@@ -35,6 +35,7 @@ CORE = 0.75  # share of a group's documents that an estimate rests on
 STEPS = 3
 LIMIT = 40.0  # squared distance, beyond the 0.9999998 point of chi-square with five degrees
 LEAST_GROUP = 50
+ROWS_PER_TASK = 100_000
 BINS = 32  # bins of the histogram of distances per doubling
 
 
@@ -184,6 +185,8 @@ def judge(docs: DataFrame, limit: float = LIMIT, least_group: int = LEAST_GROUP,
     stats = cut_lineage(_statistics(figures(docs)).withColumn(
         "base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     ))
+    # the rows are narrow now: the passes over them need fewer tasks than the texts did
+    stats = stats.coalesce(max(1, -(-stats.count() // ROWS_PER_TASK)))
     sound = stats.filter("NOT base_failed").select("lang", "source", *STATISTICS)
     levels = [["lang", "source"], ["lang"], []]
     sizes = "n_core"
