@@ -23,9 +23,11 @@ from functools import reduce
 from operator import and_
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vulnlake.llm.common import cut_lineage
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -152,19 +154,21 @@ def scan(
     for n, (phrase, _) in enumerate(phrases):
         listed = listed.withColumn(f"_p{n}", F.when(F.col("_any"), _places(F.col("words"), phrase)).otherwise(none))
     places = F.concat(*[F.col(f"_p{n}") for n in range(len(phrases))])
-    base = listed.select(
-        "doc_id", "_text", F.size("words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
-        F.array_compact(F.array(*[F.when(F.size(f"_p{n}") > 0, label) for n, (_, label) in enumerate(phrases)])).alias("_base"),
-    )
     signs = F.array(*[F.lit(w) for w in rarest(templates)])
     whole_key = F.lit(False)
     for key in sorted({t.key for t in templates}):
         whole_key = whole_key | reduce(and_, (F.array_contains("words", w) for w in sorted(set(key.split()), key=lambda w: (-len(w), w))))
+    indexed = sorted({p.word for p in index})
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda h: h["word"].isin(indexed))
+    # one pass over the texts; what it leaves is narrow, and is read by both sides of the join below
+    base = cut_lineage(listed.select(
+        "doc_id", "_text", F.size("words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"),
+        F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
+        F.array_compact(F.array(*[F.when(F.size(f"_p{n}") > 0, label) for n, (_, label) in enumerate(phrases)])).alias("_base"),
+        F.when(F.arrays_overlap("words", signs), F.when(whole_key, hits)).alias("_hits"),
+    ))
     hits = (
-        docs.select(*row, words_of(F.col("text")).alias("words")).filter(F.arrays_overlap("words", signs)).filter(whole_key)
-        .select("doc_id", "_text", F.posexplode("words").alias("at", "word"))
-        .filter(F.col("word").isin(sorted({p.word for p in index})))
+        base.select("doc_id", "_text", F.explode("_hits").alias("_hit")).select("doc_id", "_text", "_hit.at", "_hit.word")
         .join(F.broadcast(known), "word")  # as many rows as the templates have words, whatever the input
         .groupBy("doc_id", "_text", "template", (F.col("at") - F.col("position")).alias("begin"), "label", "key_size", "total", "position")
         .agg(F.max("weight").alias("weight"), F.max("in_key").alias("in_key"))
