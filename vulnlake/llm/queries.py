@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vulnlake.llm import jaccard_join, licenses, mixing, packing, pii, quality, toxicity
+from vulnlake.llm import jaccard_join, licenses, mixing, neighbours, packing, pii, quality, toxicity
 from vulnlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +57,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).drop("distance")
+
+
+@query("op7_neighbours")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
