@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import jaccard_join, licenses, mixing, neighbours, packing, pii, quality, toxicity
+from vulnlake.llm import jaccard_join, licenses, mixing, neighbours, packing, pii, quality, substrings, toxicity
 from vulnlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_neighbours")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op1_substrings")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, folder, "documents"))
