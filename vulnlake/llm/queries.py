@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import jaccard_join, licenses, mixing, neighbours, packing, pii, quality, substrings, toxicity
+from vulnlake.llm import jaccard_join, licenses, mixing, neighbours, packing, passages, pii, quality, substrings, toxicity
 from vulnlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_substrings")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.deduplicated(table(spark, folder, "documents"))
+
+
+@query("op6_passages")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
