@@ -187,8 +187,9 @@ def estimate(counts: dict[int, int], rounds: int = 50) -> tuple[np.ndarray, np.n
             for truth, weight in ((1, p * n), (0, (1 - p) * n)):
                 for j in range(LABELERS):
                     seen = np.bincount(votes[:, j], weights=weight, minlength=3)
-                    # a labeler is taken to be better than chance until the data say otherwise
-                    hold = np.array([1.0, 2.0, 1.0]) if truth else np.array([1.0, 1.0, 2.0])
+                    # until the data say otherwise, a labeler votes as it does overall, a little better than chance
+                    overall = np.bincount(votes[:, j], weights=n, minlength=3) / n.sum()
+                    hold = 4 * overall + (np.array([0.1, 0.2, 0.1]) if truth else np.array([0.1, 0.1, 0.2]))
                     if j == 0:  # the pattern's own check is known to be a strong one
                         hold = hold + n.sum() * np.array([0.0, 0.95, 0.05] if truth else [0.0, 0.1, 0.9])
                     reliability[kind, truth, j] = (seen + hold) / (seen + hold).sum()
@@ -202,7 +203,7 @@ def estimate(counts: dict[int, int], rounds: int = 50) -> tuple[np.ndarray, np.n
     return reliability, prior, belief
 
 
-def fit(counts: dict[int, int], threshold: float = 0.5, l2: float = 1.0) -> Model:
+def fit(counts: dict[int, int], threshold: float = 0.5, l2: float = 0.02) -> Model:
     """The span classifier, trained on the probabilities that the labelers' model gives."""
     reliability, prior, belief = estimate(counts)
     codes = sorted(counts)
