@@ -84,7 +84,8 @@ def test_fixing_commits_match_the_raised_limit(spark):
     weights = [(f"c{c}", f"commit::{i:040x}", random.randint(1, 4)) for c in range(30) for i in range(random.randint(0, 12))]
     got = {}
     df = spark.createDataFrame(weights, "cve_id string, ref string, weight int")
-    for r in L.fixing_commits(df).collect():
+    assert L.fixing_commits(df).count() == len(weights)
+    for r in L.fixing_commits(df, 5).collect():
         got.setdefault(r.cve_id, set()).add("commit::" + r.commit_id)
     for c in {w[0] for w in weights}:
         refs, limit = {r: w for k, r, w in weights if k == c}, 0

@@ -92,7 +92,8 @@ def test_patches_reports_and_small_files(spark, rows, tmp_path):
     rules = [{"id": "X", "message": "", "relevance": 8}]
     report = {"commits": [{"commit_id": f"c{i}", "matched_rules": rules if i != 1 else [], "twins": []} for i in range(12)]}
     (tmp_path / "r.json").write_text(json.dumps(report))
-    assert history.read_reports(spark, str(tmp_path / "r.json")).count() == 9
+    assert history.read_reports(spark, str(tmp_path / "r.json"), 10).count() == 9
+    assert history.read_reports(spark, str(tmp_path / "r.json")).count() == 11
     (tmp_path / "t.csv").write_text("head;x;y;z;c\nCVE-2020-1234;r;v;t;abc\n")
     assert rows(history.read_truth(spark, str(tmp_path / "t.csv")), "cve_id", "commits") == [("CVE-2020-1234", "abc")]
     (tmp_path / "m.json").write_text(json.dumps({"p": {"git": "g", "search keywords": ["a", "b"]}}))

@@ -15,6 +15,7 @@ from vulnlake.operators import tables as TB
 from vulnlake.operators.keyed import with_position
 from vulnlake.operators.ranking import top_scored
 from vulnlake.plans import analyses as A
+from vulnlake.plans.jobs import shuffled_work
 from vulnlake.views import Data
 
 COMMIT_FREQ = """SELECT fx.repo_url AS commit_project, count(fx.hash) AS commit_count
@@ -476,11 +477,11 @@ def _(d):
 
 
 @query("win_06_top_ten_commits", f"""
-    SELECT * FROM (SELECT repo_url, hash, score, row_number() OVER (PARTITION BY repo_url ORDER BY score DESC, hash) AS rank
-      FROM (SELECT repo_url, hash, max(score) - 200 AS score FROM v_fixes GROUP BY 1, 2)) WHERE rank <= 10 AND score > 0""")
+    SELECT * FROM (SELECT cve_id, repo_url, hash, score, row_number() OVER (PARTITION BY cve_id, repo_url ORDER BY score DESC, hash) AS rank
+      FROM (SELECT cve_id, repo_url, hash, max(score) - 200 AS score FROM v_fixes GROUP BY 1, 2, 3)) WHERE rank <= 10 AND score > 0""")
 def _(d):
-    scored = d("v_fixes").groupBy("repo_url", "hash").agg((F.max("score") - 200).alias("score"))
-    return top_scored(scored.withColumn("cve_id", F.lit("all"))).drop("cve_id")
+    scored = d("v_fixes").groupBy("cve_id", "repo_url", "hash").agg((F.max("score") - 200).alias("score"))
+    return top_scored(scored, K.REPORT_TOP)
 
 
 @query("srt_03_nearest_candidates", """
@@ -492,13 +493,13 @@ def _(d):
     WHERE position <= 2000""")
 def _(d):
     pairs = C.within_days(d("v_advisory"), d("v_commit_log").drop("n_files"))
-    return C.nearest(pairs).select("cve_id", "repo_url", "commit_id", "position")
+    return C.nearest(pairs, K.MAX_CANDIDATES).select("cve_id", "repo_url", "commit_id", "position")
 
 
-@query("srt_05_shuffled_work")
+@query("srt_05_shuffled_work", f"""
+    SELECT *, md5(concat_ws('|', cve, project_url, '7')) AS draw FROM v_cve_project WHERE checked = '{K.PAIR_NOT_STARTED}'""")
 def _(d):
-    pending = d("v_cve_project").filter(F.col("checked") == K.PAIR_NOT_STARTED)
-    return pending.orderBy(F.rand(7)).limit(K.WORK_CHUNK)
+    return shuffled_work(d("v_cve_project").filter(F.col("checked") == K.PAIR_NOT_STARTED), ["cve", "project_url"], seed=7)
 
 
 @query("srt_06_sampled_commits")

@@ -24,12 +24,13 @@ def _(d):
 
 @query("joi_13_mentioned_commits", """
     SELECT DISTINCT a.cve_id, a.repo_url, c.commit_id FROM v_advisory a JOIN v_commit_log c ON c.repo_url = a.repo_url
-    JOIN (SELECT cve_id, substr(file_change_id, 1, 10) AS named FROM v_file_change f JOIN v_fixes x ON x.hash = f.hash
-          WHERE x.score = 250) r ON r.cve_id = a.cve_id AND starts_with(c.commit_id, r.named)
+    JOIN (SELECT DISTINCT cve_id, substr(file_change_id, 1, 6 + x.score::INT % 5) AS named FROM v_file_change f JOIN v_fixes x ON x.hash = f.hash
+          ) r ON r.cve_id = a.cve_id AND starts_with(c.commit_id, r.named)
     WHERE abs(epoch(c.ts) - epoch(a.reserved)) <= 540 * 86400""")
 def _(d):
-    named = d("v_fixes").filter("score = 250").join(d("v_file_change"), "hash").select(
-        "cve_id", F.concat(F.lit("commit::"), F.left("file_change_id", F.lit(10))).alias("ref"))
+    # ids of six to ten characters
+    named = d("v_fixes").join(d("v_file_change"), "hash").select(
+        "cve_id", F.concat(F.lit("commit::"), F.expr("left(file_change_id, 6 + cast(score AS int) % 5)")).alias("ref")).distinct()
     return C.mentioned(named, d("v_advisory"), d("v_commit_log")).select("cve_id", "repo_url", "commit_id")
 
 
@@ -104,7 +105,7 @@ def _(d):
       contains(message, 'README') OR contains(message, '.md') OR contains(message, 'STATUS'))""")
 def _(d):
     files = F.array(F.regexp_replace(F.regexp_extract("message", r"(README|\.md|STATUS)", 1), "^$", "src/main.c"))
-    return d("v_message").filter(C.is_candidate(F.col("message"), files)).select("doc_id")
+    return d("v_message").filter(C.is_candidate(F.col("message"), files, K.MAX_CHANGED_FILES, K.MAX_MESSAGE_CHARS)).select("doc_id")
 
 
 @query("prj_21_extension_filter", """

@@ -155,7 +155,7 @@ LINE_WEIGHTS = """(SELECT cve_id, 'commit::' || hash AS ref, sum(score)::BIGINT
 def _(d):
     weights = d("v_fixes").groupBy("cve_id", F.concat(F.lit("commit::"), F.col("hash")).alias("ref")).agg(
         F.sum("score").alias("weight"))
-    return L.fixing_commits(weights)
+    return L.fixing_commits(weights, K.FIX_REF_LIMIT)
 
 
 @query("win_08_sixth_weight", f"""

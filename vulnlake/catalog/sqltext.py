@@ -2,7 +2,7 @@
 
 from vulnlake import constants as K
 
-NAMES = ", ".join(f"'{n}'" for n in dict.fromkeys(K.BLACKLIST_NAMES))
+NAMES = ", ".join(f"'{n}'" for n in dict.fromkeys(x.lower() for x in K.BLACKLIST_NAMES))
 HOSTS = "|".join(K.ALLOWED_HOSTS)
 HOST_CASES = " ".join(f"WHEN '{h}' THEN '{e}'" for h, e in K.REGISTRY_HOSTS.items())
 KEYWORDS = "[" + ", ".join(f"'{w}'" for w in K.SECURITY_KEYWORDS) + "]"

@@ -74,7 +74,7 @@ def github_name(url: Column) -> Column:
 
 def is_blacklisted(url: Column) -> Column:
     name = last_part(url)
-    return name.rlike(K.BLACKLIST_WORDS) | F.lower(name).isin(K.BLACKLIST_NAMES)
+    return name.rlike(K.BLACKLIST_WORDS) | F.lower(name).isin([n.lower() for n in K.BLACKLIST_NAMES])
 
 
 def is_allowed_host(url: Column) -> Column:

@@ -150,9 +150,11 @@ def reference_weights(own: DataFrame, third_party: DataFrame, page_links: DataFr
     return rows.groupBy("cve_id", "ref").agg(F.sum("w").alias("weight"))
 
 
-def fixing_commits(weights: DataFrame, most: int = K.FIX_REF_LIMIT) -> DataFrame:
-    """Commit references of a CVE, at most ``most``: those heavier than the next one in line."""
+def fixing_commits(weights: DataFrame, most: int | None = None) -> DataFrame:
+    """Commit references of a CVE; with ``most``, at most so many: those heavier than the next one in line."""
     commits = weights.filter(F.col("ref").startswith("commit::"))
+    if most is None:
+        return commits.select("cve_id", F.expr("substring(ref, 9)").alias("commit_id"), "weight")
     limit = (
         top_k_per_key(commits, ["cve_id"], [F.desc("weight"), F.col("ref")], most + 1)
         .filter(F.col("rank") == most + 1)

@@ -64,7 +64,8 @@ def commit_features(commits: DataFrame, issues: DataFrame, tickets: DataFrame) -
 
 def _linked(commits: DataFrame, ids: str, pages: DataFrame, name: str) -> DataFrame:
     """Map of linked id -> stored content, empty text where nothing is stored."""
-    mentions = commits.select("commit_id", "repository", F.explode(ids).alias("issue_id"))
+    mentions = commits.select("commit_id", "repository", F.explode(ids).alias("issue_id")).distinct()
+    pages = pages.groupBy("repository", "issue_id").agg(F.max("content").alias("content"))  # one page for each link
     entries = (
         mentions.join(pages, ["repository", "issue_id"], "left")
         .groupBy("commit_id", "repository")

@@ -141,12 +141,12 @@ def build_change_tables(changes: DataFrame, spans: DataFrame) -> dict[str, DataF
 
 
 def candidate_pairs(
-    advisories: DataFrame, commits: DataFrame, weights: DataFrame, before: int, after: int, limit: int
+    advisories: DataFrame, commits: DataFrame, weights: DataFrame, before: int, after: int, limit: int | None
 ) -> DataFrame:
     """Candidates ``(cve_id, repo_url, commit_id, ts, position)`` of every advisory in one plan.
 
-    Around a commit the references name, if it is in the repository; else around the reserved date.  Filtered,
-    cut to the nearest ``limit``, and joined by the named commits themselves.
+    Around a commit the references name, if it is in the repository; around the reserved date where that gives
+    none.  Filtered, cut to the nearest ``limit`` if there is one, and joined by the named commits themselves.
     """
     extension = F.transform("changed_files", lambda f: F.element_at(F.split(f, r"\."), -1))
     narrow = commits.select("commit_id", "repo_url", "ts", F.array_distinct(extension).alias("_ext"),
@@ -161,19 +161,31 @@ def candidate_pairs(
         C.twin_window(known, narrow).filter("_usable").drop("author_ts", "commit_ts", "width")
         .join(slim, ["cve_id", "repo_url"]).select("cve_id", "repo_url", "commit_id", "ts", "reserved")
     )
+    placed = around_fix.select(F.col("cve_id").alias("_cve"), F.col("repo_url").alias("_repo")).distinct()
+    unplaced = slim.join(placed, (F.col("cve_id") == F.col("_cve")) & (F.col("repo_url") == F.col("_repo")), "left_anti")
     around_date = (
-        C.within_days(slim.join(known, R.PAIR, "left_anti"), usable, before, after).filter(wanted)
+        C.within_days(unplaced, usable, before, after).filter(wanted)
         .select("cve_id", "repo_url", "commit_id", "ts", "reserved")
     )
     near = C.nearest(around_fix.unionByName(around_date).distinct(), limit).drop("reserved")
     extra = named.select("cve_id", "repo_url", "commit_id", "ts").join(near, [*R.PAIR, "commit_id"], "left_anti")
-    return near.unionByName(extra.withColumn("position", F.lit(limit + 1)))
+    last = -F.unix_timestamp("ts") if limit is None else F.lit(limit + 1)
+    return near.withColumn("position", F.col("position").cast("long")).unionByName(extra.withColumn("position", last.cast("long")))
+
+
+def shuffled_work(pending: DataFrame, keys: Sequence[str], seed: int, most: int | None = None) -> DataFrame:
+    """Pending rows in an order drawn by seed, as column ``draw``; the first ``most`` of them if given.
+
+    The draw is a hash of key and seed, so reruns agree however the rows are partitioned.
+    """
+    drawn = pending.withColumn("draw", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))))
+    return drawn if most is None else drawn.orderBy("draw", *keys).limit(most)
 
 
 def rank_candidates(
     advisories: DataFrame, commits: DataFrame, weights: DataFrame, issues: DataFrame, tickets: DataFrame,
     rules: Sequence[str] = ("ALL",), before: int = K.WINDOW_DAYS, after: int = K.WINDOW_DAYS,
-    limit: int = K.MAX_CANDIDATES, message_chars: int | None = None,
+    limit: int | None = None, message_chars: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Ranked commits of every (CVE, repository) and the twins of the kept ones.
 
@@ -187,7 +199,8 @@ def rank_candidates(
     renamed = used.withColumnRenamed("repo_url", "repository").withColumn("changed_files", C.relevant_files(F.col("changed_files")))
     features = RU.precompute(RU.commit_features(renamed.drop("ts"), issues, tickets)).withColumn("repo_url", F.col("repository"))
     bands = cut_lineage(pairs.select(*R.PAIR, "commit_id").join(
-        TW.band_rows(used, ["repo_url"], "commit_id", "message", message_chars), ["repo_url", "commit_id"]))
+        TW.band_rows(used.filter(~F.col("message").startswith("Merge")), ["repo_url"], "commit_id", "message", message_chars),
+        ["repo_url", "commit_id"]))
     twins = TW.with_twins(bands, R.PAIR, "commit_id").withColumn("has_twins", F.lit(True))
     rows = (
         pairs.join(features, ["repo_url", "commit_id"])
@@ -196,5 +209,7 @@ def rank_candidates(
         .withColumn("has_twins", F.coalesce("has_twins", F.lit(False)))
     )
     ranked = cut_lineage(R.rank(RU.apply_rules(rows, rules), F.col("position")))
+    if not {"ALL", "COMMIT_HAS_TWINS"} & set(rules):  # nothing counts as a twin without that rule
+        return ranked, bands.limit(0).select(*R.PAIR, "commit_id", F.col("commit_id").alias("twin"))
     kept = TW.remove_twins(ranked, bands, R.PAIR, "commit_id", "rank")
     return kept, TW.twins_of_kept(kept, bands, R.PAIR, "commit_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
+    elif re.fullmatch(r"local(\[.*\])?", context.master):  # one machine, as in tests; never a cluster
         context.setCheckpointDir(tempfile.mkdtemp(prefix="vulnlake-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vulnlake import constants as K
 from vulnlake import schema as S
+from vulnlake.operators.keyed import first_per_key
 from vulnlake.functions.urls import cpe_product
 
 METRICS = {
@@ -117,15 +118,17 @@ def read_cwe(spark: SparkSession, path: str) -> DataFrame:
     category = nodes("Category", True, "_ID string, _Name string, Summary string", "Summary", F.lit(""))
     extra = spark.createDataFrame(
         K.EXTRA_WEAKNESSES, "cwe_id string, cwe_name string, description string, extended_description string, url string, is_category boolean")
-    return weakness.unionByName(category).unionByName(extra).dropDuplicates(["cwe_id"])
+    parts = [part.withColumn("_order", F.lit(i)) for i, part in enumerate((weakness, category, extra))]
+    return first_per_key(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["cwe_id"], [F.col("_order")]).drop("_order")
 
 
 def read_cpe(spark: SparkSession, path: str) -> DataFrame:
-    """Links of every product of the dictionary ``(cpe_name, pos, url)``, once each, smallest url first."""
+    """Links of every product of the dictionary ``(cpe_name, pos, url)``, once each, at their first place in a list."""
     rows = spark.read.schema(S.CPE_DICTIONARY).option("multiLine", True).json(path)
     names = rows.select(F.explode("products.cpe").alias("c")).filter(F.col("c.cpeName") != "")
-    links = names.select(cpe_product(F.col("c.cpeName")).alias("cpe_name"), F.explode("c.refs.ref").alias("url"))
-    return links.filter(F.col("url").isNotNull()).distinct().withColumn("pos", F.lit(0))
+    links = names.select(cpe_product(F.col("c.cpeName")).alias("cpe_name"), F.posexplode("c.refs.ref").alias("pos", "url"))
+    first = links.filter(F.col("url").isNotNull()).groupBy("cpe_name", "url").agg(F.min("pos").alias("pos"))
+    return first.select("cpe_name", "url", "pos")
 
 
 def read_advisories(spark: SparkSession, path: str) -> DataFrame:

@@ -57,9 +57,11 @@ def parse_log_parts(parts: DataFrame) -> DataFrame:
     )
 
 
-def read_patches(spark: SparkSession, path: str, cap: int = K.PATCH_CAP_BYTES) -> DataFrame:
-    """Patch texts ``(file, patch)`` up to the size cap; larger files are left out by size before any is read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.col("length") <= cap)
+def read_patches(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
+    """Patch texts ``(file, patch)``; with ``cap``, files of more bytes are left out before any is read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if cap is not None:
+        rows = rows.filter(F.col("length") <= cap)
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").cast("string").alias("patch"))
 
 
@@ -69,10 +71,10 @@ def stored_patches(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("patch"))
 
 
-def read_reports(spark: SparkSession, path: str, top: int = K.REPORT_TOP) -> DataFrame:
-    """First commits of ranking reports with their scores ``(file, commit_id, score)``, score above 0."""
+def read_reports(spark: SparkSession, path: str, top: int | None = None) -> DataFrame:
+    """Commits of ranking reports, the first ``top`` if given, with their scores ``(file, commit_id, score)`` above 0."""
     rows = spark.read.schema(S.REPORT).option("multiLine", True).json(path)
-    first = rows.select(F.col("_metadata.file_path").alias("file"), F.explode(F.slice("commits", 1, top)).alias("c"))
+    first = rows.select(F.col("_metadata.file_path").alias("file"), F.explode("commits" if top is None else F.slice("commits", 1, top)).alias("c"))
     score = F.aggregate("c.matched_rules.relevance", F.lit(0), lambda a, x: a + x)
     return first.select("file", F.col("c.commit_id").alias("commit_id"), score.alias("score")).filter("score > 0")
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from vulnlake.operators.tables import Store, upsert
+from vulnlake.operators.keyed import first_per_key
+from vulnlake.operators.tables import Store
 
 
 def modified_within(records: DataFrame, column: str, as_of: str, days: int) -> DataFrame:
@@ -22,7 +23,8 @@ def follow_feed(
 ) -> StreamingQuery:
     """Read the feed files that are new since the last run and replace the changed records.
 
-    The checkpoint remembers which files were read.  A batch that is run again replaces the same rows once
+    Of a record's versions the one modified last counts, whether it came in this batch or before.  The checkpoint
+    remembers which files were read.  A batch that is run again replaces the same rows once
     more, so the table does not change.
     """
     stream = spark.readStream.schema(schema).json(landing)
@@ -30,7 +32,8 @@ def follow_feed(
     def apply(batch: DataFrame, _: int) -> None:
         store = Store(batch.sparkSession, root)
         target = store.read(table) if store.exists(table) else batch.limit(0)
-        store.commit({table: upsert(target, batch, keys, [-F.unix_micros(F.col(modified).cast("timestamp"))])})
+        newest_first = -F.unix_micros(F.col(modified).cast("timestamp"))
+        store.commit({table: first_per_key(target.unionByName(batch), keys, [newest_first])})
 
     return (
         stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
