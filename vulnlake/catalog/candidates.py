@@ -370,5 +370,5 @@ def _(d):
     advisories, commits, weights = ranking_inputs(d)
     mentions = commits.select(F.col("repo_url").alias("repository"), F.explode(X.issue_ids(F.col("message"))).alias("issue_id")).distinct()
     issues = mentions.join(d("v_linked_issue"), "issue_id").select("repository", "issue_id", "content")
-    kept, _twins = rank_candidates(advisories, commits, weights, issues, issues.limit(0))
+    kept, _twins = rank_candidates(advisories, commits, weights, issues, issues)
     return kept.select("cve_id", "repo_url", "commit_id", "relevance", "rank")

@@ -348,11 +348,11 @@ def _(d):
 
 
 @query("snk_04_upsert", """
-    WITH n AS (SELECT DISTINCT repo_url, 1 AS commits_count FROM v_fixes WHERE score > 240)
+    WITH n AS (SELECT repo_url, count(DISTINCT hash) AS commits_count FROM v_fixes GROUP BY repo_url)
     SELECT repo_url, commits_count FROM n
     UNION ALL SELECT repo_url, commits_count FROM v_repository WHERE repo_url NOT IN (SELECT repo_url FROM n)""")
 def _(d):
-    new = d("v_fixes").filter("score > 240").select("repo_url", F.lit(1).cast("long").alias("commits_count"))
+    new = d("v_fixes").groupBy("repo_url").agg(F.countDistinct("hash").alias("commits_count"))
     return TB.upsert(d("v_repository"), new, ["repo_url"], [F.col("commits_count")])
 
 
