@@ -143,8 +143,12 @@ def _same(keys: Sequence[str]) -> Column:
 
 
 def _beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row with its group's columns; the one row of a table without keys becomes literals."""
+    if not keys:
+        only = groups.first()
+        return rows.withColumns({c: F.lit(only[c]).cast(t) for c, t in groups.dtypes} if only else {c: F.lit(None).cast(t) for c, t in groups.dtypes})
     named = groups.withColumnsRenamed({k: f"_{k}" for k in keys})
-    return (rows.join(named, _same(keys)) if keys else rows.crossJoin(named)).drop(*[f"_{k}" for k in keys])
+    return rows.join(named, _same(keys)).drop(*[f"_{k}" for k in keys])
 
 
 def _core(rows: DataFrame, keys: Sequence[str], score: Column) -> DataFrame:
@@ -193,10 +197,15 @@ def judge(docs: DataFrame, limit: float = LIMIT, least_group: int = LEAST_GROUP,
     chosen = None
     for keys in levels:
         own = estimates(sound, keys, steps).filter(F.col(sizes) >= (least_group * CORE if keys else 0))
-        named = own.withColumnsRenamed({k: f"_{k}" for k in keys})
-        packed = named.select(*[f"_{k}" for k in keys], F.struct(*[c for c in own.columns if c not in keys]).alias(f"_e{len(keys)}"))
+        packed = own.select(*keys, F.struct(*[c for c in own.columns if c not in keys]).alias(f"_e{len(keys)}"))
         base = stats if chosen is None else chosen
-        chosen = base.join(packed, _same(keys) if keys else F.lit(True), "left").drop(*[f"_{k}" for k in keys])
+        if keys:
+            named = packed.withColumnsRenamed({k: f"_{k}" for k in keys})
+            chosen = base.join(named, _same(keys), "left").drop(*[f"_{k}" for k in keys])
+        else:
+            kinds = [(f.name, f.dataType) for f in packed.schema["_e0"].dataType.fields]
+            only = packed.first()
+            chosen = base.withColumn("_e0", F.struct(*[F.lit(only["_e0"][n] if only else None).cast(t).alias(n) for n, t in kinds]))
     rows = chosen.withColumn("_e", F.coalesce("_e2", "_e1", "_e0")).select("*", "_e.*")
     rows = _with_distance(rows)
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= limit)
