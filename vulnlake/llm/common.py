@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,6 +44,16 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(whole, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def give_back() -> None:
+    """Hand memory that is free back to the system, which Python workers would keep between batches."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``limit`` bytes of text, or one row."""
     for batch in batches:
@@ -57,6 +69,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4 << 20) -
             to = max(at + 1, int(np.searchsorted(ends, begin + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+        give_back()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
