@@ -504,7 +504,9 @@ def _(d):
     return shuffled_work(d("v_cve_project").filter(F.col("checked") == K.PAIR_NOT_STARTED), ["cve", "project_url"], seed=7)
 
 
-@query("srt_06_sampled_commits")
+@query("srt_06_sampled_commits", """
+    SELECT * FROM v_commit_log
+    QUALIFY row_number() OVER (PARTITION BY repo_url ORDER BY md5(commit_id || '|7'), commit_id) <= 20""")
 def _(d):
     from vulnlake.plans.jobs import sample_per_repository
 

@@ -59,9 +59,9 @@ def missing_patches(fixes: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def sample_per_repository(commits: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` random commits of every repository."""
-    drawn = commits.withColumn("_draw", F.xxhash64(F.lit(seed), F.col("commit_id")))
-    return top_k_per_key(drawn, ["repo_url"], [F.col("_draw")], n, "_rank").drop("_draw", "_rank")
+    """``n`` random commits of every repository, drawn by a hash of id and seed; ties go to the smaller id."""
+    drawn = commits.withColumn("_draw", F.md5(F.concat(F.col("commit_id"), F.lit(f"|{seed}"))))
+    return top_k_per_key(drawn, ["repo_url"], [F.col("_draw"), F.col("commit_id")], n, "_rank").drop("_draw", "_rank")
 
 
 def placeholder_repositories(repos: DataFrame) -> DataFrame:
