@@ -240,6 +240,38 @@ def test_passages_shared_by_documents_are_found(spark, corpus):
     assert covered and all(c <= got.get(i, set()) for i, c in covered.items())
 
 
+def test_passages_with_a_changed_word_at_every_place():
+    def near(x, y, least, similar):  # brute force: is there any pair of stretches
+        for a0, a1 in ((i, j) for i in range(len(x)) for j in range(i + least, len(x) + 1)):
+            for b0, b1 in ((i, j) for i in range(len(y)) for j in range(i + least, len(y) + 1)):
+                one, two = set(x[a0:a1]), set(y[b0:b1])
+                if len(one & two) >= similar * len(one | two):
+                    return True
+        return False
+
+    whole = np.arange(75, dtype=np.uint32)
+    for place in range(79):  # a word stands in up to five shingles
+        copy = whole.copy()
+        copy[max(0, place - 4) : place + 1] += 1000
+        found = passages.compare(whole, copy, 46, 0.8)
+        assert found and found[0][1] - found[0][0] >= 70 and found[0][4] >= 0.8
+    every45 = whole[:74].copy()
+    every45[:4], every45[44:49] = every45[:4] + 1000, every45[44:49] + 1000
+    assert passages.compare(whole[:74], every45, 46, 0.8)
+    rng = np.random.default_rng(5)
+    seen = set()
+    for _ in range(150):
+        x = rng.integers(0, 25, 14).astype(np.uint32)  # some shingles repeat
+        y = np.roll(np.where(rng.random(14) < 0.2, rng.integers(50, 90, 14), x), rng.integers(0, 4)).astype(np.uint32)
+        found = passages.compare(x, y, 8, 0.8)
+        assert bool(found) == near(x.tolist(), y.tolist(), 8, 0.8)
+        for a0, a1, b0, b1, share in found:
+            one, two = set(x[a0:a1].tolist()), set(y[b0:b1].tolist())
+            assert min(a1 - a0, b1 - b0) >= 8 and share == pytest.approx(len(one & two) / len(one | two)) and share >= 0.8
+        seen.add(bool(found))
+    assert seen == {True, False}
+
+
 def test_neighbours_reach_their_recall_and_keep_ties(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(1500, 32)).astype(np.float32)
