@@ -272,6 +272,22 @@ def test_passages_with_a_changed_word_at_every_place():
     assert seen == {True, False}
 
 
+def test_passages_behind_unrelated_windows_of_a_group(spark):
+    rng = random.Random(8)
+    word = lambda: "v" + str(rng.randrange(10**9))
+    # a text of 51 words has two stretches of 46 shingles; the phrase in its middle is the smallest shingle of both
+    words = [word() for _ in range(400_000)]
+    tokens = passages.shingle_hashes(pa.array([" ".join(words)]), 5)[0]
+    values = [passages.mixed(tokens ^ np.uint64(0xA24BAED4963EE407 * (s + 1) & 0xFFFFFFFFFFFFFFFF)) for s in (0, 1)]
+    at = int(np.maximum(*values).argmin())
+    texts = [[word() for _ in range(23)] + words[at : at + 5] + [word() for _ in range(23)] for _ in range(30)]
+    near = [t[:2] + [word()] + t[3:] for t in texts]
+    docs = frame(spark, [" ".join(t) for t in [*texts, *texts, *near]])
+    got = {(r.doc_id, r.first_doc) for r in passages.repeated_passages(docs).collect()}
+    assert {(30 + i, i) for i in range(30)} <= got
+    assert {(60 + i, i) for i in range(30)} <= got
+
+
 def test_neighbours_reach_their_recall_and_keep_ties(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(1500, 32)).astype(np.float32)
