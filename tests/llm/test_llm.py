@@ -288,6 +288,22 @@ def test_passages_behind_unrelated_windows_of_a_group(spark):
     assert {(60 + i, i) for i in range(30)} <= got
 
 
+def test_passages_of_repeating_lines_are_found_whole(spark):
+    rng = random.Random(9)
+    word = lambda: "u" + str(rng.randrange(10**9))
+    line = " ".join(word() for _ in range(10))
+    lines = "\n".join([line] * 200)
+    head = " ".join(word() for _ in range(12))
+    table = " ".join(f"{word()} {word()} {word()} {line}" for _ in range(150))
+    docs = frame(spark, [lines, f"{head}\n{lines}", table, f"{head} {table}"])
+    covered = {}
+    for r in passages.repeated_passages(docs).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        assert r.first_doc != r.doc_id or r.first_start < r.start_word
+    assert set(range(12, 2012)) <= covered[1] and set(range(100, 2000)) <= covered[0]
+    assert set(range(12, 1962)) <= covered[3]
+
+
 def test_neighbours_reach_their_recall_and_keep_ties(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(1500, 32)).astype(np.float32)
