@@ -391,6 +391,25 @@ def test_neighbours_fill_a_window_first():
     assert {d for d, _, _ in first[:3]} == {0, 2, 3}
 
 
+def test_planted_neighbours_meet_in_a_table_of_many_shards(spark):
+    rng = random.Random(12)
+    listed = packing.word_ids(packing.default_tokenizer()).tokenizer.get_vocab()
+    words = sorted(w[:-4] for w in listed if re.fullmatch("[a-z]{5,9}</w>", w))[:2009]
+    topics = [rng.sample(words[9:], 12) for _ in range(80)]
+    # three documents of a topic, far from one another in the table; topics share some words
+    texts = [" ".join(rng.sample(topics[i % 80], 10) + rng.choices(words[:9], k=20)) for i in range(240)]
+    docs = frame(spark, [*texts, *["the same text"] * 100, None, ""])
+    rows = packing.pack(docs, window=256, shard_docs=16).collect()
+    shard = {}
+    for r in rows:
+        shard.setdefault(r.doc_id, set()).add(r.sequence_id >> 24)
+    assert len(shard) == 342 and all(len(x) == 1 for x in shard.values())
+    sizes = Counter(next(iter(x)) for x in shard.values())
+    assert len(sizes) > 10 and max(sizes.values()) <= 32
+    met = sum(len(shard[i] & shard[i + 80] | shard[i] & shard[i + 160] | shard[i + 80] & shard[i + 160]) > 0 for i in range(80))
+    assert met >= 64
+
+
 def plain_figures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(zip(words, words[1:], words[2:]))

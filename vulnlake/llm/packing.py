@@ -2,8 +2,9 @@
 
 Every document becomes token ids and an end id.  Whole windows of a long document are sequences of their own;
 what is left of each document (its tail, shorter than a window) is packed with its lexical neighbours.  Tails
-are dealt over shards of a fixed mean number of documents, so the number of shards, not their size, grows
-with the input.  Each shard holds a BM25 inverted index of its tails: a seed asks it with its rarest terms for
+are ordered by the rarest two terms that another document holds together, too, then by further rare terms, and that
+order is cut into shards of about a fixed number of documents, where neighbours share least: tails that share rare
+terms meet in one shard (neighbours outside the shard are not looked for), and the number of shards, not their size, grows with the input.  Each shard holds a BM25 inverted index of its tails: a seed asks it with its rarest terms for
 unused neighbours, best first, which fill the seed's window whole as long as they fit; the best one left is
 cut to fill the window to the last token, and its rest is the next seed.  The rest of a shard that does not
 fill a window is cut into sequences of powers of two, which need no padding either.
@@ -19,13 +20,13 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import pieces
+from vulnlake.llm.common import bit_map, cut_lineage, in_bit_map, mixed, pieces
 
 WINDOW = 2048
 END_ID = 1
@@ -33,6 +34,8 @@ SHARD_DOCS = 512
 CACHED_WORDS = 400_000
 SIGN = "^"
 QUERY_TERMS = 16
+KEY_TERMS = 12
+PAIR_BITS = 1 << 26
 K1, B = 1.2, 0.75
 #: white space that is not plain ASCII; a text with any is tokenised whole
 ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -143,9 +146,9 @@ def _tokenised(batches: Iterable[pa.RecordBatch], path: str, window: int, end_id
             crcs.append([_crc(ids[i : i + window]) for i in range(0, whole, window)])
             tails.append(ids[whole:].tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("shard"), batch.column("doc_id").cast(pa.int64()), pa.array(n_tokens, pa.int64()),
+            [batch.column("salt"), batch.column("doc_id").cast(pa.int64()), pa.array(n_tokens, pa.int64()),
              pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary())],
-            ["shard", "doc_id", "n_tokens", "crcs", "tail"],
+            ["salt", "doc_id", "n_tokens", "crcs", "tail"],
         )
 
 
@@ -247,17 +250,101 @@ def _powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _packed(shard: pd.DataFrame, window: int, kind: str) -> pd.DataFrame:
-    shard = shard.assign(_crc=[zlib.crc32(t) for t in shard["tail"]]).sort_values(["doc_id", "n_tokens", "_crc"], kind="stable")
-    number = int(shard["shard"].iloc[0]) << 32
-    ids, tokens = shard["doc_id"].tolist(), shard["n_tokens"].tolist()
-    ids = [None if pd.isna(x) else int(x) for x in ids]
+def _counted(batches: Iterable[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """In how many tails each term stands."""
+    counts = np.zeros(0, np.int64)
+    for batch in batches:
+        for tail in batch.column("tail").to_pylist():
+            terms = np.unique(np.frombuffer(tail, kind))
+            if len(terms) and terms[-1] >= len(counts):
+                counts = np.append(counts, np.zeros(int(terms[-1]) + 1, np.int64))
+            counts[terms] += 1
+    terms = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts[terms])], ["term", "n"])
+
+
+def rarity(counts: dict[int, int]) -> np.ndarray:
+    """Rank of each term, the rarest of several tails first; terms of one tail alone have the last rank."""
+    terms, n = np.array(list(counts), np.int64), np.array(list(counts.values()), np.int64)
+    ranks = np.full(int(terms.max()) + 1 if len(terms) else 1, 0xFFFFFFFF, np.uint32)
+    terms, n = terms[n > 1], n[n > 1]
+    ranks[terms[np.lexsort((terms, n))]] = np.arange(len(terms))
+    return ranks
+
+
+def rarest(tail: bytes, ranks: np.ndarray, kind: str) -> np.ndarray:
+    """Ranks of a tail's rarest terms that other tails hold, too, in order."""
+    own = np.unique(ranks[np.frombuffer(tail, kind)])[:KEY_TERMS]
+    return own[own < 0xFFFFFFFF].astype(np.uint64)
+
+
+def _pairs(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second place of all pairs of terms, rarest first, and a number for each pair."""
+    first, second = np.triu_indices(len(own), 1)
+    return first, second, mixed(own[first] << np.uint64(32) | own[second]).view(np.int64)
+
+
+def _listed(batches: Iterable[pa.RecordBatch], ranks, kind: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_pairs(rarest(tail, ranks.value, kind))[2] for tail in batch.column("tail").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["pair"])
+
+
+def _keyed(batches: Iterable[pa.RecordBatch], ranks, shared, kind: str) -> Iterator[pa.RecordBatch]:
+    """The rows with ``terms``: ranks of the rarest pair of terms in several tails, then of the others, so that they sort."""
+    for batch in batches:
+        keys = []
+        for tail in batch.column("tail").to_pylist():
+            own = rarest(tail, ranks.value, kind)
+            first, second, pairs = _pairs(own)
+            hit = np.flatnonzero(in_bit_map(shared.value, pairs))
+            if len(hit):
+                two = [first[hit[0]], second[hit[0]]]
+                own = np.append(own[two], np.delete(own, two))
+            key = np.append(own, np.full(KEY_TERMS - len(own), 0xFFFFFFFF, np.uint64))
+            keys.append(key.astype(">u4").tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "terms"])
+
+
+def cut_at(keys: list[bytes], mean: int) -> int:
+    """How many of the first rows, about ``mean``, make a shard: where two rows share least of their keys."""
+    def shared(i: int) -> int:
+        return next((k for k in range(KEY_TERMS) if keys[i - 1][4 * k : 4 * k + 4] != keys[i][4 * k : 4 * k + 4]), KEY_TERMS)
+
+    if len(keys) <= mean + mean // 2:
+        return len(keys)
+    return min(range(max(1, mean // 2), mean + mean // 2 + 1), key=lambda i: (shared(i), abs(i - mean)))
+
+
+def _sharded(batches: Iterable[pa.RecordBatch], window: int, kind: str, shard_docs: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows cut into shards, each packed for itself."""
+    number, held = TaskContext.get().partitionId() << 44, None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        keys, at = held.column("terms").to_pylist(), 0
+        while held.num_rows - at >= 2 * shard_docs:
+            size = cut_at(keys[at : at + 2 * shard_docs], shard_docs)
+            yield _packed(held.slice(at, size), number, window, kind)
+            number, at = number + (1 << 24), at + size
+        held = held.slice(at).combine_chunks()
+    keys, at = held.column("terms").to_pylist() if held is not None else [], 0
+    while at < len(keys):
+        size = cut_at(keys[at:], shard_docs)
+        yield _packed(held.slice(at, size), number, window, kind)
+        number, at = number + (1 << 24), at + size
+
+
+def _packed(shard: pa.Table, number: int, window: int, kind: str) -> pa.RecordBatch:
+    found = list(zip(*[shard.column(c).to_pylist() for c in ("doc_id", "n_tokens", "crcs", "tail")], strict=True))
+    found.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1], zlib.crc32(x[3])))
+    ids, tokens = [x[0] for x in found], [x[1] for x in found]
     rows: list[tuple] = []
-    for doc, n, crcs in zip(ids, tokens, shard["crcs"], strict=True):
+    for doc, n, crcs, _ in found:
         for k, crc in enumerate(crcs):
             rows.append((doc, k * window, window, int(crc), n, number, 0))
             number += 1
-    tails = [np.frombuffer(t, kind) for t in shard["tail"]]
+    tails = [np.frombuffer(x[3], kind) for x in found]
     for sequence in fill_windows(tails, window):
         offset = 0
         for d, start, length in sequence:
@@ -266,7 +353,7 @@ def _packed(shard: pd.DataFrame, window: int, kind: str) -> pd.DataFrame:
             offset += length
         number += 1
     names = [x.split()[0] for x in PIECES.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({k: "Int64" for k in names})
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
 
 
 def pack(
@@ -281,14 +368,18 @@ def pack(
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
     path = tokenizer or default_tokenizer()
-    shards = max(1, -(-docs.count() // shard_docs))
     kind = word_ids(path).kind.str
-    dealt = docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id()), F.lit(shards)).alias("shard"),
-        F.col("doc_id").cast("long").alias("doc_id"), "text",
+    rows = docs.select(
+        F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id()).alias("salt"), F.col("doc_id").cast("long").alias("doc_id"), "text",
     )
-    tokenised = dealt.mapInArrow(
-        lambda batches: _tokenised(batches, path, window, end_id),
-        "shard long, doc_id long, n_tokens long, crcs array<long>, tail binary",
-    )
-    return tokenised.groupBy("shard").applyInPandas(lambda shard: _packed(shard, window, kind), PIECES)
+    fields = "salt long, doc_id long, n_tokens long, crcs array<long>, tail binary"
+    tokenised = cut_lineage(rows.mapInArrow(lambda batches: _tokenised(batches, path, window, end_id), fields))
+    # as many counts as the tokenizer has ids
+    counts = tokenised.select("tail").mapInArrow(lambda batches: _counted(batches, kind), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    ranks = docs.sparkSession.sparkContext.broadcast(rarity({r.term: r.n for r in counts.collect()}))
+    pairs = tokenised.select("tail").mapInArrow(lambda batches: _listed(batches, ranks, kind), "pair long")
+    shared = bit_map(pairs.groupBy("pair").count().filter("count > 1").select("pair"), "pair", PAIR_BITS)
+    keyed = tokenised.mapInArrow(lambda batches: _keyed(batches, ranks, shared, kind), f"{fields}, terms binary")
+    # rows of one key are many where texts are copies, so the salt lets them be cut
+    dealt = keyed.repartitionByRange("terms", "salt").sortWithinPartitions("terms", "salt")
+    return dealt.mapInArrow(lambda batches: _sharded(batches, window, kind, shard_docs), PIECES)
