@@ -139,6 +139,16 @@ def test_keywords_contained_in_texts(spark, rows):
     assert rows(C.keyword_matches(texts, keys)) == [(1, "p"), (1, "q"), (1, "z"), (2, "q")]
 
 
+def test_close_tags_are_filtered_by_side_before_they_are_ranked(spark):
+    names = ["1.2.30", "1.2.31", "1.2.32", "1.2.33", "1.2.34", "1.2.35", "1.2.1", "1.2.2"]
+    tags = spark.createDataFrame([("r", v, f"v{v}") for v in names], "repo_url string, version_key string, tag string")
+    asked = spark.createDataFrame([(1, "r", "1.2.3", "1.2.3")], "id long, repo_url string, version string, other string")
+    got = {r.tag: r.rank for r in TG.close_tags(tags, asked, before=True).collect()}
+    assert got == {"v1.2.2": 1, "v1.2.1": 2}
+    assert {r.tag for r in TG.close_tags(tags, asked, before=True, most=1).collect()} == {"v1.2.2"}
+    assert len(TG.close_tags(tags, asked, before=False).collect()) == 6
+
+
 def test_tags_of_version_intervals(spark):
     names = ["0.9-beta1"] + [f"docker-plugin-0.{i}" for i in range(1, 9)] + [f"docker-plugin-1.1.{i}" for i in range(1, 10)] + ["libvirt-slave-1.7"]
     tags = spark.createDataFrame([("r", i, t) for i, t in enumerate(names)], "repo_url string, pos int, tag string")

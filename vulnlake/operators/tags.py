@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vulnlake.functions import versions as V
 from vulnlake.operators.keyed import top_k_per_key
@@ -94,8 +95,8 @@ def closest_tag(tags: DataFrame, versions: DataFrame) -> DataFrame:
     return rows.filter(F.col("ratio") > 0).groupBy("id").agg(best).select("id", F.col("b.tag").alias("tag"), F.col("b.ratio").alias("ratio"))
 
 
-def close_tags(tags: DataFrame, versions: DataFrame, before: bool, most: int = 5) -> DataFrame:
-    """Up to five tags whose version text resembles the asked one, on one side of the other end.
+def close_tags(tags: DataFrame, versions: DataFrame, before: bool, most: int | None = None) -> DataFrame:
+    """Tags whose version text resembles the asked one, on one side of the other end, the best ``most`` or all.
 
     ``tags``: ``(repo_url, version_key, tag)``; ``versions``: ``(id, repo_url, version, other)``.
     """
@@ -105,6 +106,10 @@ def close_tags(tags: DataFrame, versions: DataFrame, before: bool, most: int = 5
         .withColumn("ratio", V.sequence_ratio(F.col("version_key"), F.col("version")))
         .filter(F.col("ratio") >= CLOSE_MATCH)
     )
-    best = top_k_per_key(scored, ["id"], [F.desc("ratio"), F.desc("version_key")], most)
     side = F.col("version_key") < F.col("other") if before else F.col("version_key") > F.col("other")
-    return best.filter(side).join(tags, ["repo_url", "version_key"]).select("id", "rank", "tag")
+    order = [F.desc("ratio"), F.desc("version_key")]
+    if most is None:
+        best = scored.filter(side).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
+    else:
+        best = top_k_per_key(scored.filter(side), ["id"], order, most)
+    return best.join(tags, ["repo_url", "version_key"]).select("id", "rank", "tag")
