@@ -225,6 +225,20 @@ def test_personal_data_query(spark):
     assert clean[3].n_chars == len(clean[3].text)
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    rng = random.Random(6)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.-"
+    secrets = ["".join(rng.choice(signs) for _ in range(999)) + "7" for _ in range(30)]
+    texts = [f"the login token = \"{x}\" is a credential" for x in secrets] + ["a" * 100_000 + " token=" + "a1" * 50_000]
+    texts += [f"token = \"a1b2c3d4e5{i}\"" for i in range(200)]  # short ones decide the shape
+    docs = frame(spark, texts)
+    clean = {r.doc_id: r.text for r in pii.redacted_documents(docs).collect()}
+    assert all(x[-8:] not in clean[i] and x[300:308] not in clean[i] for i, x in enumerate(secrets))
+    assert clean[0] == "the login token = \"<secret>\" is a credential"
+    spans = [(c.start, c.end) for c in pii.candidates(texts[0]) if pii.KINDS[c.kind] == "secret"]
+    assert spans == [(texts[0].index(secrets[0]), texts[0].index(secrets[0]) + 1000)]
+
+
 def test_passages_shared_by_documents_are_found(spark, corpus):
     rows = passages.repeated_passages(frame(spark, corpus)).collect()
     seen, covered, got = {}, {}, {}

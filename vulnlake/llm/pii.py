@@ -41,7 +41,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?+[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-SECRET = re.compile(r"""(?i)(?<![A-Za-z0-9_])(api[_-]?key|access[_-]?key|secret|token|passwd|password|auth)\s?[:=]\s?["']?([A-Za-z0-9+/_.-]{8,256})""")
+SECRET = re.compile(r"""(?i)(?<![A-Za-z0-9_])(api[_-]?key|access[_-]?key|secret|token|passwd|password|auth)\s?[:=]\s?["']?([A-Za-z0-9+/_.-]{8,}+)""")
 NAME = re.compile(r"(?<![^\W_])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? (?:[A-Z][a-zà-ÿ]{1,30})(?: [A-Z][a-zà-ÿ]{1,30}){0,2}")
 ID_NUMBER = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 WORDS = re.compile(r"[^\W\d_]+")
@@ -152,7 +152,7 @@ def candidates(text: str) -> list[Candidate]:
         cue = 1 if before & CUES[name] else 0
         later = 1 if after & CUES[name] else 0
         alone = (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
-        shape = 1 if alone and 6 <= len(span) <= 80 else 2
+        shape = 1 if alone and 6 <= len(span) and (len(span) <= 80 or name == "secret") else 2
         context = (len(span) > 12) | (any(c.isdigit() for c in span) << 1) | ((start > 0 and text[start - 1] == "\n") << 2) | (alone << 3)
         out.append(Candidate(kind, start, end, (1 if passes else 2, listed, cue, later, shape), int(context), base))
     return out
