@@ -368,6 +368,18 @@ def test_toxicity_on_held_out_rows():
     assert toxicity.fit_chain(["a"], [0]).links == ()
 
 
+def test_toxicity_trains_on_texts_behind_a_huge_one(spark):
+    texts = ["filler " * 200_000] + [("you idiot moron " if i % 2 else "a calm remark ") + f"w{i % 7}" for i in range(80)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2 ^ (i > 0)) for i in range(81)], "doc_id long, toxic int")
+    chain = toxicity.train(docs, labels, max_mb=1)
+    assert chain.links and "idiot" in chain.vocabulary
+    huge = frame(spark, ["filler " * 200_000, "calm", "filler " * 200_000])
+    kinds = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, toxic int")
+    with pytest.raises(ValueError):
+        toxicity.train(huge, kinds, max_mb=1)
+
+
 def test_packing_gives_every_token_back(spark, corpus):
     from tokenizers import Tokenizer
 

@@ -17,6 +17,7 @@ and nothing is rejected; repeated rows are scored each for itself.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
@@ -144,24 +145,29 @@ def fit_chain(
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    """Text and label of at most ``max_train`` labelled documents, one row per id; the bound makes a broadcast safe."""
+    """Text and label of at most ``max_train`` labelled documents in the order they are drawn; the bound makes a broadcast safe."""
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.md5(F.concat(F.lit("toxicity:"), F.col("doc_id").cast("string")))
-    drawn = known.orderBy(order, "doc_id").limit(max_train)
+    drawn = known.orderBy(order, "doc_id").limit(max_train).withColumn("_order", order)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("doc_id", F.md5("text"))
+    return texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("_order", "doc_id", F.md5("text")).drop("_order")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, max_mb: int = 64, **options) -> Chain:
-    """Fit the chain on a bounded, hashed sample of the labelled documents (at most ``max_mb`` MB of text, whole ones)."""
-    texts, toxic, left = [], [], max_mb << 20
+    """Fit the chain on a bounded, hashed sample of the labelled documents (at most ``max_mb`` MB of text, whole ones).
+
+    A text that does not fit any more is passed over; it is an error if that leaves no text of a label that was drawn.
+    """
+    used, drawn, left = [], set(), max_mb << 20
     for row in training_rows(docs, labels, max_train).toLocalIterator():
-        left -= len(row.text)
-        if left < 0:
-            break
-        texts.append(row.text)
-        toxic.append(row.toxic)
-    return fit_chain(texts, toxic, **options)
+        drawn.add(row.toxic)
+        if len(row.text) <= left:
+            left -= len(row.text)
+            used.append(row)
+    if len(drawn) > 1 and {row.toxic for row in used} != drawn:
+        raise ValueError("the labelled texts of one kind do not fit into max_mb")
+    used.sort(key=lambda row: (row.doc_id, hashlib.md5(row.text.encode()).hexdigest()))
+    return fit_chain([row.text for row in used], [row.toxic for row in used], **options)
 
 
 def _scored(batches: Iterable[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
