@@ -380,6 +380,20 @@ def test_toxicity_trains_on_texts_behind_a_huge_one(spark):
         toxicity.train(huge, kinds, max_mb=1)
 
 
+def test_neighbours_split_queries_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    vectors = rng.normal(size=(600, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, neighbours.nearest(df, df.vec_id % 2 == 0).collect()))
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(neighbours, "PART_QUERIES", 10)
+    assert sorted(map(tuple, neighbours.nearest(df, df.vec_id % 2 == 0).collect())) == whole
+    rows = df.selectExpr("vec_id AS id", "embedding AS vector")
+    blocks = neighbours._blocks(rows, rows, 2, 0.25)
+    sizes = rows.mapInArrow(lambda b: neighbours._bucketed(b, 2, 0.25, blocks, True), neighbours.BUCKETED).groupBy("width", "tab", "bucket", "block").count()
+    assert max(r["count"] for r in sizes.collect()) <= 40
+
+
 def test_packing_gives_every_token_back(spark, corpus):
     from tokenizers import Tokenizer
 

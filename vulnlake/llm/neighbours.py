@@ -5,7 +5,8 @@ signed axis.  Each table has a rotation of its own.  A query probes, per table,
 found there are ranked exactly by cosine in double precision on the original vectors.
 
 A bucket is a set of blocks of bounded size, as many as its count asks for, so a hot bucket (a very common
-vector) is many small tasks.  A block returns only each query's best rows.  A query that finds fewer rows than
+vector) is many small tasks; the queries of a bucket are dealt over parts of bounded size, and a block is a pair
+of both.  A block returns only each query's best rows.  A query that finds fewer rows than
 asked for looks through all buckets of one table, which is an exact search.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, as queries or rows; nor do rows
@@ -30,6 +31,7 @@ from vulnlake.llm.common import cut_lineage
 TABLES = 6
 PROBE_SHARE = 0.125
 BLOCK_ROWS = 4096
+PART_QUERIES = 20_000
 BLOCK_QUERIES = 2048
 SEED = 11
 
@@ -74,7 +76,10 @@ def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _bucketed(batches: Iterable[pa.RecordBatch], tables: int, probes: float, blocks: dict | None, asking: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (width, tab, bucket, block, id, data); a query has one per probed block, a row one per table."""
+    """Rows (width, tab, bucket, block, id, data); a query has one per probed block, a row one per table and part of the queries.
+
+    ``blocks`` has the numbers of row blocks and of query parts of each bucket; a pair of both is a block.
+    """
     for batch in batches:
         ids = batch.column("id").to_numpy()
         out: list[list] = [[] for _ in range(6)]
@@ -90,11 +95,13 @@ def _bucketed(batches: Iterable[pa.RecordBatch], tables: int, probes: float, blo
                 for row, buckets in enumerate(near.tolist()):
                     for bucket in buckets:
                         key = (vectors.shape[1], table, bucket)
-                        n_blocks = 1 if blocks is None else blocks.get(key, 0)
+                        n_blocks, parts = (1, 1) if blocks is None else blocks.get(key, (0, 1))
+                        spread = int(ids[at[row]]) * 0x9E3779B97F4A7C15 >> 20
                         if asking:
-                            chosen = range(n_blocks)
+                            chosen = range(spread % parts, n_blocks * parts, parts)
                         else:
-                            chosen = ((int(ids[at[row]]) * 0x9E3779B97F4A7C15 >> 20) % max(1, n_blocks),) if blocks is not None else (0,)
+                            own = spread % max(1, n_blocks)
+                            chosen = range(own * parts, (own + 1) * parts)
                         for block in chosen:
                             for column, value in zip(out, (*key, block, ids[at[row]], data[row] if blocks is not None else b""), strict=True):
                                 column.append(value)
@@ -134,11 +141,18 @@ def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
+def _blocks(rows: DataFrame, queries: DataFrame, tables: int, probes: float) -> dict[tuple[int, int, int], tuple[int, int]]:
+    """Numbers of row blocks and of query parts of each bucket that has rows; there are two buckets per dimension and table."""
+    found: list[dict] = []
+    for side, asking, most in ((rows, False, BLOCK_ROWS), (queries, True, PART_QUERIES)):
+        counted = side.mapInArrow(lambda b, asking=asking: _bucketed(b, tables, probes, None, asking), BUCKETED)
+        counts = counted.groupBy("width", "tab", "bucket").count().collect()
+        found.append({(r["width"], r["tab"], r["bucket"]): -(-r["count"] // most) for r in counts})
+    return {key: (n, found[1].get(key, 1)) for key, n in found[0].items()}
+
+
 def _searched(rows: DataFrame, queries: DataFrame, k: int, tables: int, probes: float) -> DataFrame:
-    counted = rows.mapInArrow(lambda b: _bucketed(b, tables, probes, None, False), BUCKETED)
-    # one figure per bucket; there are two per dimension and table
-    counts = counted.groupBy("width", "tab", "bucket").count().collect()
-    blocks = {(r["width"], r["tab"], r["bucket"]): -(-r["count"] // BLOCK_ROWS) for r in counts}
+    blocks = _blocks(rows, queries, tables, probes)
     key = ["width", "tab", "bucket", "block"]
     held = rows.mapInArrow(lambda b: _bucketed(b, tables, probes, blocks, False), BUCKETED)
     asked = queries.mapInArrow(lambda b: _bucketed(b, tables, probes, blocks, True), BUCKETED)
