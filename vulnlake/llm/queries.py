@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnlake.llm import jaccard_join, licenses, mixing, neighbours, packing, passages, pii, quality, substrings, toxicity
+from vulnlake.llm import (
+    jaccard_join,
+    lexical_search,
+    licenses,
+    mixing,
+    neighbours,
+    packing,
+    passages,
+    pii,
+    prefix_trie,
+    quality,
+    quality_votes,
+    substrings,
+    toxicity,
+)
 from vulnlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +86,18 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_passages")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeated_passages(table(spark, folder, "documents"))
+
+
+@query("op11_quality_votes")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_votes.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op12_lexical_search", lexical_search.sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_prefix_trie", prefix_trie.sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
