@@ -7,6 +7,7 @@ from vulnlake.operators import links as L
 from vulnlake.operators import pruning as P
 from vulnlake.operators import statistics as ST
 from vulnlake.operators import tables as TB
+from vulnlake.operators.store import Store
 from vulnlake.operators import tags as TG
 from vulnlake.operators import twins as TW
 from vulnlake.operators.keyed import first_per_key, top_k_per_key, with_position
@@ -54,7 +55,7 @@ def test_upsert_twice_gives_one_row(spark, rows):
 
 
 def test_store_moves_all_tables_together(spark, rows, tmp_path):
-    store = TB.Store(spark, str(tmp_path / "db"))
+    store = Store(spark, str(tmp_path / "db"))
     assert not store.exists("a")
     store.commit({"a": spark.range(2), "b": spark.range(3)})
     store.commit({"a": spark.range(5)})

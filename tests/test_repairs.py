@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vulnlake.operators import candidates as C
 from vulnlake.operators import rules as RU
 from vulnlake.operators import twins as TW
-from vulnlake.operators.tables import Store
+from vulnlake.operators.store import Store
 from vulnlake.plans import jobs
 
 START = 1_700_000_000

@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from vulnlake import schema as S
-from vulnlake.operators import tables as TB
+from vulnlake.operators.store import Store
 from vulnlake.plans import jobs as J
 from vulnlake.sources import feeds, history, pages
 from vulnlake.streaming.feeds import follow_feed
@@ -113,7 +113,7 @@ def test_feed_stream_equals_batch(spark, rows, tmp_path):
 
     run("1.json", {"cve_id": "a", "modified": "2020-01-01", "text": "old"}, {"cve_id": "b", "modified": "2020-01-01", "text": "b"})
     run("2.json", {"cve_id": "a", "modified": "2020-01-03", "text": "new"}, {"cve_id": "a", "modified": "2020-01-02", "text": "mid"})
-    assert rows(TB.Store(spark, root).read("cve"), "cve_id", "text") == [("a", "new"), ("b", "b")]
+    assert rows(Store(spark, root).read("cve"), "cve_id", "text") == [("a", "new"), ("b", "b")]
 
 
 def test_change_tables(spark, rows):

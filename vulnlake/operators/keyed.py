@@ -12,18 +12,24 @@ from vulnlake.session import cut_lineage
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of every key by ``order``, ties broken by the other columns.
+    """The first row of every key by ``order``, NULL last, ties broken by the other columns.
 
     A ``min`` over a struct combines on the map side, so a hot key sends one row per task through the
     shuffle instead of all its rows into one window.  NULL keys form a group of their own.
     """
     rest = [c for c in df.columns if c not in keys]
-    ranked = [o.alias(f"_o{i}") for i, o in enumerate(order)]
-    best = F.min(F.struct(*ranked, *rest)).alias("_best")
+    ranked = [x for i, o in enumerate(order) for x in (o.isNull().alias(f"_n{i}"), o.alias(f"_o{i}"))]
+    columns = [F.col(f"`{c}`") for c in rest]
+    unordered = [f.name for f in df.schema if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()]
+    if unordered:  # maps cannot be compared, so they only go along
+        compared = [F.col(f"`{c}`") for c in rest if c not in unordered]
+        best = F.min_by(F.struct(*columns), F.struct(*ranked, *compared, F.lit(0))).alias("_best")
+    else:
+        best = F.min(F.struct(*ranked, *columns)).alias("_best")
     return (
-        df.groupBy(*keys)
+        df.groupBy(*[F.col(f"`{k}`") for k in keys])
         .agg(best)
-        .select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
+        .select(*[F.col(f"`{c}`") if c in keys else F.col(f"_best.`{c}`").alias(c) for c in df.columns])
     )
 
 
@@ -32,9 +38,10 @@ def top_k_per_key(
 ) -> DataFrame:
     """The first ``k`` rows of every key with their rank, starting at 1.
 
-    Ranks twice: within ``salts`` slices of a key, then within the at most ``salts * k`` rows left.
+    Ranks twice: within ``salts`` slices of a key, dealt by the rows' places, then within the at most ``salts * k``
+    rows left.  No column but the key and the order is looked at.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts))
     sliced = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return (
