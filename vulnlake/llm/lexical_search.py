@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vulnlake.llm.common import _LOWER, RangeHash, bit_map, buffer_of, in_bit_map, pieces, word_bounds
+from vulnlake.llm.common import _LOWER, RangeHash, bit_map, buffer_of, give_back, in_bit_map, pieces, word_bounds
 from vulnlake.session import cut_lineage
 
 #: Largest share of documents that hold a term of each owner but the last.
 SHARES = (0.001, 0.01, 0.1)
 BUNDLE = 256
 BLOCK_BYTES = 16 << 20
+HASHED_BYTES = 1 << 20
 MAP_BITS = 1 << 24
 ONE = 1_000_000_000
 
@@ -77,11 +78,17 @@ def _indexed(batches: Iterable[pa.RecordBatch], asked, limit: int) -> Iterator[p
     """One header row a block (ids and lengths of its documents), one row for each asked term in it."""
     part, number = TaskContext.get().partitionId(), 0
     for batch in (b.slice(at, 1 << 16) for b in pieces(batches, "_text", limit) for at in range(0, b.num_rows, 1 << 16)):
-        hashes, row = term_hashes(batch.column(1))
-        length = np.bincount(row, minlength=batch.num_rows)
-        kept = in_bit_map(asked.value, hashes)
-        terms, of = np.unique(hashes[kept], return_inverse=True)
-        pairs, tf = np.unique(of * batch.num_rows + row[kept], return_counts=True)
+        length, found = np.zeros(batch.num_rows, np.int64), []
+        first = 0
+        for piece in pieces([batch], "_text", HASHED_BYTES):  # hashing takes some forty bytes for one of text
+            hashes, row = term_hashes(piece.column(1))
+            length[first : first + piece.num_rows] = np.bincount(row, minlength=piece.num_rows)
+            kept = in_bit_map(asked.value, hashes)
+            found.append((hashes[kept], row[kept] + first))
+            first += piece.num_rows
+        hashes, row = (np.concatenate(x) for x in zip(*found, strict=True))
+        terms, of = np.unique(hashes, return_inverse=True)
+        pairs, tf = np.unique(of * batch.num_rows + row, return_counts=True)
         of, doc = np.divmod(pairs, batch.num_rows)
         bounds = np.searchsorted(of, np.arange(len(terms) + 1))
         docs, tfs, most = [], [], []
@@ -152,6 +159,7 @@ def add_stage(left: pa.Table, right: pa.Table, n_docs: int, n_terms: int, k: int
             found += [(item, header["ids"][d], -s) for s, _, _, d in sorted(near)[:k]]
         kinds = [("item_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())]
         return pa.table({n: pa.array([f[i] for f in found], t) for i, (n, t) in enumerate(kinds)})
+    give_back()
     out = [header, *(
         {"block": header["block"], "bundle": header["bundle"], "header": False, "item_id": item, "ids": None, "docs": doc.tobytes(), "scores": score.tobytes()}
         for item, (doc, score) in state.items()
