@@ -68,11 +68,16 @@ def _(d):
 
 
 @query("joi_15_keywords_in_descriptions", """
-    SELECT DISTINCT cve_id AS id, p_type AS project FROM v_cve JOIN (SELECT DISTINCT p_type, split_part(p_name, ' ', 2) AS keyword
-      FROM part) ON contains(description, keyword)""")
+    SELECT DISTINCT cve_id AS id, project FROM v_cve JOIN (
+      SELECT DISTINCT p_brand AS project, p_name || ' ' || lower(p_type) AS keyword FROM part
+      UNION SELECT p_brand, replace(lower(p_brand), '#', '#1') FROM part
+      UNION SELECT p_brand || '-' || left(p_name, 1), substr(p_name, 3, 1 + p_size % 2) || ' ' FROM part WHERE p_size < 4
+    ) ON contains(description, keyword)""")
 def _(d):
-    words = d("part").select(
-        F.col("p_type").alias("project"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("keyword")).distinct()
+    words = d.sql("""
+        SELECT p_brand AS project, p_name || ' ' || lower(p_type) AS keyword FROM part
+        UNION SELECT p_brand, replace(lower(p_brand), '#', '#1') FROM part
+        UNION SELECT p_brand || '-' || left(p_name, 1), substr(p_name, 3, 1 + p_size % 2) || ' ' FROM part WHERE p_size < 4""")
     return C.keyword_matches(d("v_cve").select(F.col("cve_id").alias("id"), F.col("description").alias("text")), words)
 
 

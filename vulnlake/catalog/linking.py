@@ -118,6 +118,26 @@ REFS = """(SELECT pos, cve_id, CASE WHEN pos % 17 = 0 THEN 'https://git.example.
              WHEN pos % 19 = 0 THEN 'https://git.example.org/x.git/commit/?id=' || md5(url) ELSE url END AS url FROM v_ref)"""
 
 
+NEWEST = "(SELECT ecosystem, name, arg_max(version, (pos, version)) AS version FROM v_package_release GROUP BY 1, 2)"
+
+
+@query("srt_09_newest_versions", f"SELECT * FROM {NEWEST}")
+def _(d):
+    return L.newest_versions(d("v_package_release"))
+
+
+@query("lnk_14_newest_package_repositories", f"""
+    SELECT ecosystem, name, arg_min(repo, (late, repo)) AS repo_url FROM (
+      SELECT r.ecosystem, r.name, label <> 'SOURCE_REPO' AS late, url,
+             CASE WHEN label = 'SOURCE_REPO' THEN {Q.clean_git('url')} ELSE {Q.base(Q.clean_git('url'))} END AS repo
+      FROM v_package_release r JOIN {NEWEST} n ON n.ecosystem = r.ecosystem AND n.name = r.name
+      WHERE r.ecosystem NOT IN ('PYPI', 'NPM') OR r.version = n.version)
+    WHERE {Q.is_repo('repo')} AND (ecosystem <> 'RUBYGEMS' OR contains(url, name)) GROUP BY 1, 2""")
+def _(d):
+    releases = d("v_package_release")
+    return L.package_repos(releases, releases.select("ecosystem", "name", "pos", "version").distinct())
+
+
 @query("lnk_16_commit_references", f"SELECT pos, {REF} AS ref FROM {REFS}")
 def _(d):
     return d.sql(f"SELECT * FROM {REFS}").select("pos", U.commit_reference(_url()).alias("ref"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vulnlake import constants as K
 from vulnlake.catalog import sqltext as Q
 from vulnlake.catalog.registry import query
 from vulnlake.functions import diffs as D
@@ -158,13 +159,46 @@ def _(d):
         F.round(SIM.otsuka_ochiai(F.col("a"), F.col("b")), 9).alias("otsuka_ochiai"))
 
 
-@query("fun_16_path_similarities")
-def _(d):
-    pairs = d("v_registry_url").select(
-        (F.col("page_id") % 50).alias("advisory"), F.col("url").alias("path")).join(
-        d("v_package_links").select("name", F.regexp_extract("version", r"\.(\d+)", 1).cast("long").alias("p"))
-        .select((F.col("p") % 50).alias("advisory"), F.col("name").alias("term")), "advisory")
-    return SIM.path_similarities(pairs, "advisory", "path", "term")
+def _name_tokens(text: str) -> str:
+    return rf"list_filter(string_split_regex(lower(regexp_replace({text}, '([A-Z])', ' \1', 'g')), '[\W_]+'), lambda x: x <> '')"
+
+
+# every token of a pair becomes one character; the table of the distance with swaps is filled row by row
+CLOSE_PATHS = rf"""
+    lists AS (SELECT DISTINCT p.url AS path, l.url AS term, {_name_tokens('p.url')} AS a, {_name_tokens('l.url')} AS b
+              FROM v_registry_url p CROSS JOIN v_git_url l),
+    chars AS (SELECT *, list_distinct(list_concat(a, b)) AS bag FROM lists WHERE abs(len(a) - len(b)) <= 3),
+    lev AS (SELECT path, term, a, b, levenshtein(
+              list_aggregate(list_transform(a, lambda t: chr((33 + list_position(bag, t))::INT)), 'string_agg', ''),
+              list_aggregate(list_transform(b, lambda t: chr((33 + list_position(bag, t))::INT)), 'string_agg', '')) AS d FROM chars),
+    close AS (SELECT * FROM lev WHERE d <= 3),
+    osa(path, term, a, b, d, i, above, before) AS (
+      SELECT path, term, a, b, d, 0, range(len(b) + 1), []::BIGINT[] FROM close
+      UNION ALL
+      SELECT path, term, a, b, d, i + 1,
+        list_transform(range(len(b) + 1), lambda j: j + list_min(list_transform(step[1:j + 1], lambda v, k: v - (k - 1)))), above
+      FROM (SELECT *, list_transform(range(len(b) + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE
+              least(above[j + 1] + 1, above[j] + (a[i + 1] <> b[j])::INT,
+                    CASE WHEN i > 0 AND j > 1 AND a[i + 1] = b[j - 1] AND a[i] = b[j] THEN before[j - 1] + (a[i + 1] <> b[j])::INT ELSE 1000000 END) END) AS step
+            FROM osa WHERE i < len(a)))"""
+
+
+@query("fun_16_path_similarities", f"""
+    WITH RECURSIVE {CLOSE_PATHS},
+    done AS (SELECT path, term, a, b, d AS lev, above[len(b) + 1] AS dam FROM osa WHERE i = len(a)),
+    measured AS (SELECT *, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u, len(list_distinct(a)) AS n,
+                        len(list_distinct(b)) AS m, max(lev) OVER (PARTITION BY path) AS wl, max(dam) OVER (PARTITION BY path) AS wd FROM done)
+    SELECT path, term, round(i / u, 9) AS jaccard, round(2.0 * i / (n + m), 9) AS sorensen_dice, round(i / sqrt(n * m), 9) AS otsuka_ochiai,
+           lev::INT AS levenshtein, dam::INT AS damerau_levenshtein, abs(len(a) - len(b))::INT AS length_diff,
+           CASE WHEN wl > 0 THEN round(1 - lev / wl, 9) END AS inverted_levenshtein,
+           CASE WHEN wd > 0 THEN round(1 - dam / wd, 9) END AS inverted_damerau_levenshtein FROM measured""")
+def _(d):
+    paths = d("v_registry_url").select(F.col("url").alias("left_id")).distinct().withColumn("tokens", X.name_tokens(F.col("left_id")))
+    terms = d("v_git_url").select(F.col("url").alias("right_id")).distinct().withColumn("tokens", X.name_tokens(F.col("right_id")))
+    pairs = SIM.close_token_lists(paths, terms, 3).select(F.col("left_id").alias("path"), F.col("right_id").alias("term"))
+    measured = SIM.path_similarities(pairs, "path", "path", "term")
+    rounded = ["jaccard", "sorensen_dice", "otsuka_ochiai", "inverted_levenshtein", "inverted_damerau_levenshtein"]
+    return measured.select("path", "term", "levenshtein", "damerau_levenshtein", "length_diff", *[F.round(c, 9).alias(c) for c in rounded])
 
 
 def _permutations(n: int) -> str:
@@ -204,6 +238,80 @@ def _(d):
     return TW.twin_groups(_band_rows(d), [], "doc_id")
 
 
+@query("rul_16_commit_has_twins", f"""
+    WITH b AS (SELECT doc_id, repository, band_key FROM {_bands()} JOIN v_message USING (doc_id)),
+    s AS (SELECT repository, band_key FROM b GROUP BY ALL HAVING count(*) > 1)
+    SELECT DISTINCT doc_id, 2 AS relevance FROM b JOIN s USING (repository, band_key) JOIN v_message m USING (doc_id)
+    WHERE NOT starts_with(lower(m.message), 'merge')""")
+def _(d):
+    from vulnlake.operators import rules as RU
+
+    commits = d("v_message")
+    twins = TW.with_twins(TW.band_rows(commits, ["repository"], "doc_id", "message"), ["repository"], "doc_id")
+    flagged = commits.join(twins.withColumn("has_twins", F.lit(True)), ["repository", "doc_id"], "left").withColumn(
+        "has_twins", F.coalesce("has_twins", F.lit(False)))
+    return RU.apply_rules(flagged, ["COMMIT_HAS_TWINS"]).filter("relevance > 0").select("doc_id", "relevance")
+
+
+@query("rul_17_advisory_page_in_message", r"""
+    SELECT doc_id FROM (SELECT doc_id, message || CASE WHEN doc_id % 7 = 0 THEN ' see GHSA-' || substr(commit_id, 1, 4) || '-' || substr(commit_id, 5, 4)
+      || CASE WHEN doc_id % 2 = 0 THEN '-' || substr(commit_id, 9, 4) ELSE '' END ELSE '' END AS message FROM v_message)
+    WHERE regexp_matches(message, 'GHSA(?:-[a-z0-9]{4}){3}')""")
+def _(d):
+    from vulnlake.operators import rules as RU
+
+    c = F.col("commit_id")
+    page = F.concat(F.lit(" see GHSA-"), c.substr(1, 4), F.lit("-"), c.substr(5, 4),
+                    F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("-"), c.substr(9, 4))).otherwise(""))
+    commits = d("v_message").withColumn("message", F.concat("message", F.when(F.col("doc_id") % 7 == 0, page).otherwise("")))
+    return RU.apply_rules(commits, ["ADVISORY_PAGE_IN_MESSAGE"], RU.OPTIONAL_RULES).filter("relevance > 0").select("doc_id")
+
+
+NAMED = "(SELECT cve_id, doc_id FROM v_advisory_text JOIN v_message ON left(commit_id, 8) = left(md5(cast(item_id * 5 AS varchar)), 8))"
+
+
+def _named(d):
+    asked = d("v_advisory_text").select("cve_id", F.left(F.md5((F.col("item_id") * 5).cast("string")), F.lit(K.COMMIT_PREFIX)).alias("short"))
+    return asked.join(d("v_message").select("doc_id", F.left("commit_id", F.lit(K.COMMIT_PREFIX)).alias("short")), "short").select("cve_id", "doc_id")
+
+
+@query("rul_18_commit_in_advisory", f"SELECT cve_id, doc_id, 64 AS relevance FROM {NAMED}")
+def _(d):
+    from vulnlake.operators import rules as RU
+
+    refs = d("v_advisory_text").select("cve_id", F.map_from_arrays(
+        F.array(F.concat(F.lit("https://example.org/c/"), F.md5((F.col("item_id") * 5).cast("string")))), F.array(F.lit(2))).alias("references"))
+    pairs = _named(d).join(d("v_message").select("doc_id", "commit_id"), "doc_id").join(refs, "cve_id")
+    return RU.apply_rules(pairs, ["COMMIT_IN_ADVISORY"], RU.OPTIONAL_RULES).filter("relevance > 0").select("cve_id", "doc_id", "relevance")
+
+
+@query("rul_19_twin_in_advisory", f"""
+    WITH b AS ({_bands()}), n AS {NAMED}
+    SELECT DISTINCT n.cve_id, o.doc_id FROM n JOIN b ON b.doc_id = n.doc_id JOIN b o ON o.band_key = b.band_key AND o.doc_id <> n.doc_id""")
+def _(d):
+    return TW.twins_of_flagged(_named(d), _band_rows(d), ["cve_id"], [], "doc_id")
+
+
+TAGS = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN [] ELSE ['v' || cast(doc_id % 5 AS varchar), 'v' || cast(doc_id % 3 AS varchar)] END AS tags FROM v_message)"
+
+
+@query("joi_26_tags_of_twins", f"""
+    WITH b AS ({_bands()}), t AS {TAGS}, kept AS (SELECT doc_id FROM t WHERE list_contains(tags, 'v1')),
+    pairs AS (SELECT DISTINCT b.doc_id, o.doc_id AS twin FROM b JOIN b o ON o.band_key = b.band_key AND o.doc_id <> b.doc_id
+              WHERE b.doc_id IN (SELECT doc_id FROM kept))
+    SELECT k.doc_id, 'v1' AS tag, coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN len(t.tags) > 0 THEN t.tags[1] ELSE 'no-tag' END)
+      FILTER (t.doc_id IS NOT NULL)), ','), '') AS twin_tags
+    FROM kept k LEFT JOIN pairs p ON p.doc_id = k.doc_id LEFT JOIN t ON t.doc_id = p.twin GROUP BY k.doc_id""")
+def _(d):
+    def version(n: int):
+        return F.concat(F.lit("v"), (F.col("doc_id") % n).cast("string"))
+
+    commits = d("v_message").select(
+        "doc_id", F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(version(5), version(3))).alias("tags"))
+    tagged = TW.tagged_commits(commits, _band_rows(d), [], "doc_id", F.lit("v1"))
+    return tagged.select("doc_id", "tag", F.array_join("twin_tags", ",").alias("twin_tags"))
+
+
 @query("fun_18_signature_range", f"""
     SELECT doc_id, min(m)::BIGINT AS lowest, max(m)::BIGINT AS highest FROM (
       SELECT doc_id, i, min((a * h + b) % {M.PRIME}) AS m

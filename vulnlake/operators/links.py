@@ -10,11 +10,28 @@ from vulnlake.functions import urls as U
 from vulnlake.operators.keyed import first_per_key, top_k_per_key
 
 
-def package_repos(links: DataFrame) -> DataFrame:
+def newest_versions(versions: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Newest version per package ``(ecosystem, name, version)``: the last of its list, ``versions`` having ``pos``.
+
+    With ``as_of``, the last one that was ``published`` by then.
+    """
+    rows = versions if as_of is None else versions.filter(F.col("published") <= F.to_timestamp(F.lit(as_of)))
+    last = F.max(F.struct("pos", "version"))["version"]
+    return rows.groupBy("ecosystem", "name").agg(last.alias("version"))
+
+
+def package_repos(links: DataFrame, versions: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
     """One repository per package ``(ecosystem, name, repo_url)`` from the links of its packages.
 
-    The source link goes first, then any link to a GitHub repository; a gem needs its name in the link.
+    The source link goes first, then any link to a GitHub repository; a gem needs its name in the link.  With the
+    packages' ``versions (ecosystem, name, pos, version)``, only links of the newest version count in the ecosystems
+    that list links by version; the others (gems, composer) have one set of links.
     """
+    if versions is not None:
+        listed = F.col("ecosystem").isin(K.DIRECT_ECOSYSTEMS)
+        newest = newest_versions(versions, as_of)
+        links = links.filter(listed).join(newest, ["ecosystem", "name", "version"], "left_semi").select(*links.columns).unionByName(
+            links.filter(F.coalesce(~listed, F.lit(True))))
     cleaned = U.clean_git_url(F.col("url"))
     repo = F.when(F.col("label") == "SOURCE_REPO", cleaned).otherwise(U.base_repo_url(cleaned))
     named = (F.col("ecosystem") != "RUBYGEMS") | F.col("url").contains(F.col("name"))

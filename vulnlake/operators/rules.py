@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vulnlake import constants as K
 from vulnlake.functions import text as X
 from vulnlake.functions import urls as U
+from vulnlake.operators.twins import twins_of_flagged
 
 NO_EVIDENCE = "array<string>"
 
@@ -182,6 +183,19 @@ RULES: list[Rule] = [
          "This commit has one or more twins.", False),
 ]
 
+def _in_advisory() -> Column:
+    return _sorted(F.filter(_refs(), lambda r: F.contains(r, F.left("commit_id", F.lit(K.COMMIT_PREFIX)))))
+
+
+#: Rules that are not in the default list; ``apply_rules(pairs, ids, RULES + OPTIONAL_RULES)`` uses them too.
+OPTIONAL_RULES: list[Rule] = [
+    Rule("COMMIT_IN_ADVISORY", 64, _in_advisory, "The commit is mentioned in the advisory page", False),
+    Rule("TWIN_IN_ADVISORY", 64, lambda: F.when(F.col("twin_in_advisory"), F.array(F.lit("twin"))),
+         "A twin of this commit is mentioned in the advisory page", False),
+    Rule("ADVISORY_PAGE_IN_MESSAGE", 16, lambda: F.when(mentions_advisory_page(F.col("message")), F.array(F.lit("page"))),
+         "The commit message mentions an advisory page", False),
+]
+
 ADVISORY_INDEPENDENT = {
     "SEC_KEYWORDS_IN_MESSAGE", "SEC_KEYWORDS_IN_LINKED_GH", "SEC_KEYWORDS_IN_LINKED_BUG",
     "GITHUB_ISSUE_IN_MESSAGE", "BUG_IN_MESSAGE", "COMMIT_HAS_TWINS",
@@ -250,6 +264,17 @@ def apply_rules(pairs: DataFrame, ids: Sequence[str] = ("ALL",), rules: Sequence
     return scored.drop(*[f"_{r.id}" for r in rules])
 
 
+def with_twin_mentions(pairs: DataFrame, bands: DataFrame, scope: Sequence[str] = ("repository",)) -> DataFrame:
+    """Add ``twin_in_advisory``: a twin of the commit is named in a reference of the pair's advisory.
+
+    Which commits the references name is found once per pair; the band rows carry it to the twins.
+    """
+    named = pairs.filter(F.size(_in_advisory()) > 0).select("cve_id", *scope, "commit_id").distinct()
+    reached = twins_of_flagged(named, bands, ["cve_id"], scope, "commit_id").withColumn("twin_in_advisory", F.lit(True))
+    return pairs.join(reached, ["cve_id", *scope, "commit_id"], "left").withColumn(
+        "twin_in_advisory", F.coalesce("twin_in_advisory", F.lit(False)))
+
+
 def precompute(features: DataFrame) -> DataFrame:
     """Evidence of the rules that look at the commit only, before commits meet their advisories."""
     own = [r for r in RULES if r.id in ADVISORY_INDEPENDENT and r.id != "COMMIT_HAS_TWINS"]
@@ -257,5 +282,5 @@ def precompute(features: DataFrame) -> DataFrame:
 
 
 def mentions_advisory_page(message: Column) -> Column:
-    """Message names a GitHub advisory; kept for use in own rules, not in the default list."""
+    """Message names a GitHub advisory."""
     return message.rlike(r"GHSA(?:-[a-z0-9]{4}){3}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,14 @@ def write_first_rows(df: DataFrame, path: str, n: int = 10) -> None:
     df.limit(n).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def year_of(cve_id: Column) -> Column:
+    """Year that a CVE id names, NULL where it names none."""
+    return F.split_part(cve_id, F.lit("-"), F.lit(2)).try_cast("int")
+
+
 def write_by_year(cve: DataFrame, path: str) -> None:
     """Records in one folder per year of the CVE id, so a reader of one year opens one folder."""
-    cve.withColumn("year", F.split("cve_id", "-")[1].cast("int")).write.mode("overwrite").partitionBy("year").json(path)
+    cve.withColumn("year", year_of(F.col("cve_id"))).write.mode("overwrite").partitionBy("year").json(path)
 
 
 def repository_rows(stored: DataFrame) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vulnlake import constants as K
 from vulnlake import schema as S
 from vulnlake.operators.keyed import first_per_key
 from vulnlake.functions.urls import cpe_product
+from vulnlake.sources.exports import year_of
 
 METRICS = {
     "cvss2": (S.CVSS2_FIELDS, ["cvssMetricV2"]),
@@ -169,3 +173,19 @@ def read_cve_records(spark: SparkSession, path: str) -> DataFrame:
         F.get(F.get(cna["affected"], F.lit(0))["versions"], F.lit(0)).alias("versions"),
         cna["references"]["url"].alias("urls"),
     )
+
+
+def read_years(spark: SparkSession, path: str, schema: T.StructType, years: Sequence[int | None] | None = None) -> DataFrame:
+    """Records written by year; only the folders of the asked years are opened (None: ids without a year)."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("year", T.IntegerType())])).json(path)
+    if years is None:
+        return rows
+    known = F.col("year").isin(sorted(y for y in years if y is not None))
+    return rows.filter(known | F.col("year").isNull() if None in years else known)
+
+
+def records_of(spark: SparkSession, path: str, schema: T.StructType, asked: DataFrame) -> DataFrame:
+    """Records of the asked ids ``(cve_id)``; the years they name, a few dozen, decide which folders are opened."""
+    ids = asked.select("cve_id").filter("cve_id IS NOT NULL").distinct()
+    years = [r.year for r in ids.select(year_of(F.col("cve_id")).alias("year")).distinct().collect()]
+    return read_years(spark, path, schema, years).drop("year").join(ids, "cve_id", "left_semi")

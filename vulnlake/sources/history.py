@@ -27,17 +27,28 @@ def read_git_log(spark: SparkSession, path: str) -> DataFrame:
 def parse_log_parts(parts: DataFrame) -> DataFrame:
     """Parts ``(file, _block, _id, value)`` to commits, one window per file split.
 
-    A commit at the end of a split needs the first two parts of the next one; those few parts are copied over,
-    so a long log is never sorted as a whole.
+    A header near the end of a split is carried on: it takes its message and file list from the next parts, in
+    whatever splits they begin.  Splits in which no part begins have no row, so the two parts after a split lie in the
+    next one that has any, or, where that has a single part, in it and the one after.  Those few parts are copied back;
+    what is ordered over a file is one narrow row for each split, never its parts.
     """
     header = r"^\s*([0-9a-f]{6,40}):(\d+):([0-9a-f ]*)\s*$"
-    splits = parts.select("file", "_block").distinct()
-    before = splits.withColumn("_before", F.lag("_block").over(Window.partitionBy("file").orderBy("_block")))
+    order = Window.partitionBy("file").orderBy("_block")
+    splits = parts.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_size"))
+    before = splits.select(
+        "file", "_block", F.lag("_block").over(order).alias("_before1"), F.lag("_block", 2).over(order).alias("_before2"),
+        F.lag("_size").over(order).alias("_size1"),
+    )
     inside = Window.partitionBy("file", "_block").orderBy("_id")
     numbered = parts.withColumn("_n", F.row_number().over(inside))
+    to = F.array(
+        F.struct(F.col("_before1").alias("_to"), F.lit(1).alias("_copy")),
+        F.struct(F.when((F.col("_size1") == 1) & (F.col("_n") == 1), F.col("_before2")).alias("_to"), F.lit(2).alias("_copy")),
+    )
     copied = (
-        numbered.filter("_n <= 2").join(before.filter("_before is not null"), ["file", "_block"])
-        .select("file", F.col("_before").alias("_block"), "_id", "value", F.lit(1).alias("_copy"))
+        numbered.filter("_n <= 2").join(before, ["file", "_block"])
+        .select("file", F.explode(to).alias("_c"), "_id", "value").filter("_c._to IS NOT NULL")
+        .select("file", F.col("_c._to").alias("_block"), "_id", "value", F.col("_c._copy").alias("_copy"))
     )
     w = Window.partitionBy("file", "_block").orderBy("_copy", "_id")
     lines = F.filter(F.split("_files", "\n"), lambda x: F.trim(x) != "")

@@ -119,6 +119,13 @@ VIEWS: dict[str, str | dict[str, str]] = {
                'git+https://github.com/' || split_part(url, '/', 3) || '/' || split_part(url, '/', 4)
                  || '-' || cast(page_id as string) || '.git' AS url
         FROM pages""",
+    "v_package_release": """
+        SELECT CASE page_id % 5 WHEN 0 THEN 'PYPI' WHEN 1 THEN 'NPM' WHEN 2 THEN 'PYPI' WHEN 3 THEN 'RUBYGEMS' ELSE 'NPM' END AS ecosystem,
+               split_part(url, '/', 3) AS name, (page_id * 37) % 1009 AS pos, '1.' || cast(page_id as string) AS version, label,
+               'git+https://github.com/' || split_part(url, '/', 3) || '/' || label || '-' || cast(page_id as string) || '.git' AS url,
+               timestamp '2024-01-01 00:00:00' AS published
+        FROM pages CROSS JOIN (SELECT 'SOURCE_REPO' AS label UNION ALL SELECT 'HOMEPAGE' AS label) l
+        WHERE label = 'HOMEPAGE' OR page_id % 3 > 0""",
     "v_registry_url": """
         SELECT page_id, CASE page_id % 9
                  WHEN 0 THEN 'https://www.npmjs.com/package/@' || split_part(url, '/', 4) || '/p' || cast(page_id as string)
