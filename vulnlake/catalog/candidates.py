@@ -38,33 +38,39 @@ TWIN_FIXES = """(SELECT cve_id, repo_url, reserved AS author_ts, reserved + INTE
 
 
 @query("joi_14_twin_window", f"""
-    WITH r AS (SELECT f.*, c.commit_id, ceil(greatest(epoch(author_ts) - epoch(c.ts), epoch(c.ts) - epoch(commit_ts), 0) / 86400) AS need
+    WITH r AS (SELECT f.*, c.commit_id, ceil(greatest(epoch(author_ts) - epoch(c.ts), epoch(c.ts) - epoch(commit_ts), 0) / 86400)::INT AS need
                FROM {TWIN_FIXES} f JOIN v_commit_log c ON c.repo_url = f.repo_url
                 AND c.ts BETWEEN author_ts - INTERVAL 10 DAY AND commit_ts + INTERVAL 10 DAY),
-         w AS (SELECT cve_id, max(width) AS width FROM (
-             SELECT cve_id, width FROM r CROSS JOIN generate_series(2, 10) g(width)
-             GROUP BY cve_id, width HAVING count(*) FILTER (WHERE need <= width) < 500) GROUP BY cve_id)
-    SELECT r.cve_id, r.repo_url, r.commit_id, w.width::INT AS width FROM r JOIN w USING (cve_id) WHERE need <= width""")
+         n AS (SELECT cve_id, greatest(need, 2) AS need, count(*) AS n FROM r GROUP BY ALL),
+         t AS (SELECT cve_id, need AS low, coalesce(lead(need) OVER (PARTITION BY cve_id ORDER BY need) - 1, 10) AS high,
+                      sum(n) OVER (PARTITION BY cve_id ORDER BY need) AS total FROM n),
+         w AS (SELECT cve_id, max(high)::INT AS width FROM t WHERE total < 500 GROUP BY cve_id)
+    SELECT r.cve_id, r.repo_url, r.commit_id, w.width FROM r JOIN w USING (cve_id) WHERE need <= width""")
 def _(d):
     return C.twin_window(d.sql(f"SELECT * FROM {TWIN_FIXES}"), d("v_commit_log")).select(
         "cve_id", "repo_url", "commit_id", "width")
 
 
-REQUESTS = """(SELECT cve_id, repo_url, CASE WHEN state = 'REJECTED' THEN NULL ELSE prev_tag END AS prev_tag, next_tag FROM v_advisory
+# every advisory, between two tags of its repository that follow each other; open at either end for some
+REQUESTS = """(SELECT cve_id, repo_url, CASE WHEN state = 'REJECTED' THEN NULL ELSE prev_tag END AS prev_tag,
+    CASE WHEN cast(substr(cve_id, 10) AS int) % 9 = 0 THEN NULL ELSE next_tag END AS next_tag FROM v_advisory
   JOIN (SELECT cve_id, state FROM v_cve) s USING (cve_id)
-  JOIN (SELECT repo_url, min(tag) AS prev_tag, max(tag) AS next_tag FROM v_tag GROUP BY repo_url) t USING (repo_url)
-  JOIN (SELECT cve_id FROM v_cwe_classification WHERE cwe_id = 'CWE-77') w USING (cve_id))"""
+  JOIN (SELECT repo_url, min(tag) AS prev_tag, max(tag) AS next_tag FROM v_tag GROUP BY repo_url) t USING (repo_url))"""
 
 
 @query("joi_24_commits_between_tags", f"""
-    SELECT q.cve_id, q.repo_url, c.commit_id FROM {REQUESTS} q
+    SELECT q.cve_id, q.repo_url, count(*) AS n_commits, min(c.commit_id) AS first_id, max(c.commit_id) AS last_id, min(c.ts) AS since, max(c.ts) AS until
+    FROM {REQUESTS} q
     LEFT JOIN v_tag p ON p.repo_url = q.repo_url AND p.tag = q.prev_tag
     LEFT JOIN v_tag n ON n.repo_url = q.repo_url AND n.tag = q.next_tag
     JOIN v_commit_log c ON c.repo_url = q.repo_url
-      AND c.ts >= coalesce(p.author_ts, timestamp '1900-01-01') AND c.ts <= coalesce(greatest(n.author_ts, n.commit_ts), timestamp '2900-01-01')""")
+      AND c.ts >= coalesce(p.author_ts, timestamp '1900-01-01') AND c.ts <= coalesce(greatest(n.author_ts, n.commit_ts), timestamp '2900-01-01')
+    GROUP BY q.cve_id, q.repo_url""")
 def _(d):
-    return C.between_tags(d.sql(f"SELECT * FROM {REQUESTS}"), d("v_tag"), d("v_commit_log")).select(
-        "cve_id", "repo_url", "commit_id")
+    between = C.between_tags(d.sql(f"SELECT * FROM {REQUESTS}"), d("v_tag"), d("v_commit_log"))
+    return between.groupBy("cve_id", "repo_url").agg(
+        F.count("*").alias("n_commits"), F.min("commit_id").alias("first_id"), F.max("commit_id").alias("last_id"),
+        F.min("ts").alias("since"), F.max("ts").alias("until"))
 
 
 @query("joi_15_keywords_in_descriptions", """
@@ -178,19 +184,12 @@ def features(d):
         .withColumn("diff", F.split("text", "\n"))
         .select("commit_id", "repository", "message", "changed_files", "diff")
     )
-    pages = d("v_linked_issue")
-    # linked pages are stored once per id here, so every repository sees the same ones
-    mentions = commits.select("repository", F.explode(X.issue_ids(F.col("message"))).alias("issue_id")).distinct()
-    issues = mentions.join(pages, "issue_id").select("repository", "issue_id", "content")
-    keys = commits.select("repository", F.explode(X.jira_keys(F.col("repository"), F.col("message"))).alias("issue_id")).distinct()
-    tickets = keys.join(pages.select(F.concat(F.lit("AMQ-"), F.col("issue_id")).alias("issue_id"), "content"), "issue_id").select(
-        "repository", "issue_id", "content")
-    return RU.precompute(RU.commit_features(commits, issues, tickets))
+    return RU.commit_features(commits, *linked_pages(d, commits))
 
 
-def rule_pairs(d):
+def rule_advisories(d):
     item = F.col("item_id").cast("string")
-    advisories = d("v_advisory_text").select(
+    return d("v_advisory_text").select(
         "cve_id", "repository",
         X.alphanumeric_tokens(F.col("description"), 3).alias("keywords"),
         F.array_sort(F.array_distinct(F.regexp_extract_all("description", F.lit(r"\p{Lu}\p{L}+"), F.lit(0)))).alias("files"),
@@ -199,11 +198,15 @@ def rule_pairs(d):
                     F.concat(F.lit("https://jira.example.org/browse/AMQ-"), item),
                     F.concat("repository", F.lit("/commit/"), F.md5((F.col("item_id") * 20).cast("string")))),
             F.array(F.lit(2), F.lit(2), F.lit(1))).alias("references"))
-    return features(d).join(advisories, "repository")
+
+
+def rule_pairs(d):
+    """Ids of every commit and advisory of a repository."""
+    return d("v_message").select("repository", "commit_id").join(d("v_advisory_text").select("repository", "cve_id"), "repository")
 
 
 def scored(d, ids=RULE_IDS):
-    return RU.apply_rules(rule_pairs(d), ids)
+    return RU.score_pairs(rule_pairs(d), features(d), rule_advisories(d), ids)
 
 
 def _register(number: int, rule_id: str) -> None:
@@ -272,7 +275,8 @@ def _(d):
     WITH {RULE_PAIRS} SELECT cve_id, commit_id, r AS ref FROM (SELECT cve_id, commit_id, unnest(refs) AS r FROM p)
     WHERE contains(r, left(commit_id, 8))""")
 def _(d):
-    refs = rule_pairs(d).select("cve_id", "commit_id", F.explode(F.map_keys("references")).alias("ref"))
+    refs = rule_pairs(d).join(rule_advisories(d).select("cve_id", F.explode(F.map_keys("references")).alias("ref")), "cve_id").select(
+        "cve_id", "commit_id", "ref")
     return refs.filter(F.contains("ref", F.left("commit_id", F.lit(K.COMMIT_PREFIX))))
 
 
@@ -342,18 +346,47 @@ def _(d):
     return rows.select("cve", "project_url", R.pair_status(rows).alias("checked"))
 
 
+# advisories of the ranking job: some without a date, some years before their fix, some that ask for an extension
+RANKED_SQL = f"""
+    advs AS (SELECT adv.*, CASE WHEN item_id % 7 = 3 THEN NULL WHEN item_id % 5 = 1 THEN timestamp '2020-01-01 00:00:00'
+               ELSE timestamp '2024-01-20 00:00:00' + INTERVAL 1 DAY * (item_id % 40)::INT END AS reserved,
+               CASE WHEN item_id % 11 = 2 THEN 'py' WHEN item_id % 3 = 0 THEN 'c' END AS extension,
+               [repository || '/issues/' || cast(item_id AS varchar), 'https://jira.example.org/browse/AMQ-' || cast(item_id AS varchar),
+                repository || '/commit/' || md5(cast(item_id * 20 AS varchar))] AS refs FROM adv),
+    dated AS (SELECT m.*, timestamp '2024-01-01 00:00:00' + INTERVAL 1 DAY * (doc_id % 90)::INT AS ts FROM m),
+    usable AS (SELECT * FROM dated WHERE NOT ({" OR ".join(f"contains(file, '{part}')" for part in K.IRRELEVANT_FILE_PARTS)})),
+    anchors AS (SELECT DISTINCT a.cve_id, d.commit_id, d.ts, a.reserved FROM advs a JOIN dated n USING (repository)
+                JOIN dated d ON d.repository = a.repository AND starts_with(d.commit_id, left(n.commit_id, (6 + a.item_id % 5)::INT))
+                WHERE (n.doc_id * 7 + a.item_id) % 61 = 0),
+    fix AS (SELECT DISTINCT n.cve_id, u.commit_id FROM anchors n JOIN advs a USING (cve_id)
+            JOIN usable u ON u.repository = a.repository AND u.ts BETWEEN n.ts - INTERVAL 10 DAY AND n.ts + INTERVAL 10 DAY),
+    chosen AS (SELECT cve_id, commit_id FROM fix
+      UNION SELECT a.cve_id, u.commit_id FROM advs a JOIN usable u USING (repository) WHERE a.cve_id NOT IN (SELECT cve_id FROM fix)
+        AND (a.reserved IS NULL OR u.ts BETWEEN a.reserved - INTERVAL 60 DAY AND a.reserved + INTERVAL 60 DAY)
+        AND (a.extension IS NULL OR a.extension = 'c')
+      UNION SELECT cve_id, commit_id FROM anchors WHERE coalesce(abs(epoch(ts) - epoch(reserved)) <= 540 * 86400, true)),
+    p AS (SELECT d.*, a.cve_id, a.keywords, a.files, a.refs FROM chosen JOIN advs a USING (cve_id) JOIN dated d USING (commit_id)),
+    iss AS (SELECT DISTINCT commit_id, unnest(regexp_extract_all(message, '(?:#|gh-)(\\d{{1,6}})', 1)) AS issue_id FROM m),
+    tic AS (SELECT DISTINCT commit_id, t FROM (SELECT commit_id, unnest(regexp_extract_all(message, '[A-Z]+-[0-9]{{1,6}}', 0)) AS t FROM m
+            WHERE contains(repository, 'apache')) WHERE NOT starts_with(t, 'CVE-')),
+    page AS (SELECT commit_id, issue_id, coalesce(content, '') AS content FROM iss LEFT JOIN v_linked_issue USING (issue_id)),
+    tpage AS (SELECT commit_id, t, coalesce(content, '') AS content FROM tic LEFT JOIN v_linked_issue ON 'AMQ-' || issue_id = t)"""
+
+
 def ranking_inputs(d):
-    """Advisories, commits and linked pages of the ranking job from whole tables."""
+    """Advisories, commits and named commits of the ranking job from whole tables."""
     commits = features_input(d)
-    item = F.col("item_id").cast("string")
-    advisories = d("v_advisory_text").select(
-        "cve_id", F.col("repository").alias("repo_url"), F.to_timestamp(F.lit("2024-01-20 00:00:00")).alias("reserved"),
-        X.alphanumeric_tokens(F.col("description"), 3).alias("keywords"), X.affected_files(F.col("description")).alias("files"),
-        F.array().cast("array<string>").alias("extensions"),
-        F.map_from_arrays(F.array(F.concat("repository", F.lit("/issues/"), item)), F.array(F.lit(2))).alias("references"))
-    weights = d("v_advisory_text").select(
-        "cve_id", F.concat(F.lit("commit::"), F.md5((F.col("item_id") * 20).cast("string"))).alias("ref"), F.lit(2).alias("weight"))
-    return advisories, commits, weights
+    item = F.col("item_id")
+    reserved = (
+        F.when(item % 7 == 3, F.lit(None).cast("timestamp")).when(item % 5 == 1, F.to_timestamp(F.lit("2020-01-01 00:00:00")))
+        .otherwise(F.to_timestamp(F.lit("2024-01-20 00:00:00")) + F.make_dt_interval((item % 40).cast("int")))
+    )
+    extensions = F.when(item % 11 == 2, F.array(F.lit("py"))).when(item % 3 == 0, F.array(F.lit("c"))).otherwise(F.array().cast("array<string>"))
+    advisories = rule_advisories(d).join(d("v_advisory_text").select("cve_id", reserved.alias("reserved"), extensions.alias("extensions")), "cve_id")
+    named = d("v_message").select("repository", "commit_id", "doc_id").join(d("v_advisory_text").select("repository", "cve_id", "item_id"), "repository")
+    weights = named.filter((F.col("doc_id") * 7 + item) % 61 == 0).select(
+        "cve_id", F.concat(F.lit("commit::"), F.left("commit_id", (item % 5 + 6).cast("int"))).alias("ref"), F.lit(2).alias("weight"))
+    return advisories.withColumnRenamed("repository", "repo_url"), commits, weights
 
 
 def features_input(d):
@@ -368,12 +401,45 @@ def features_input(d):
     )
 
 
-@query("job_06_ranked_candidates")
+def linked_pages(d, commits):
+    """Stored pages of the issues and tickets that the commits name; a page is stored once per id for all repositories."""
+    pages = d("v_linked_issue")
+    mentions = commits.select("repository", F.explode(X.issue_ids(F.col("message"))).alias("issue_id")).distinct()
+    keys = commits.select("repository", F.explode(X.jira_keys(F.col("repository"), F.col("message"))).alias("issue_id")).distinct()
+    tickets = pages.select(F.concat(F.lit("AMQ-"), F.col("issue_id")).alias("issue_id"), "content")
+    columns = ["repository", "issue_id", "content"]
+    return mentions.join(pages, "issue_id").select(*columns), keys.join(tickets, "issue_id").select(*columns)
+
+
+def ranked_sql() -> str:
+    """Scores of every candidate, their order, and the walk down it that drops twins of kept commits."""
+    from vulnlake.catalog.texts import band_sql
+
+    pages = RULE_PAIRS[:RULE_PAIRS.index("    p AS (")]
+    return f"""
+    WITH RECURSIVE {pages.rstrip().rstrip(',')}, {RANKED_SQL}, h AS {HITS},
+    bands AS (SELECT doc_id, band_key FROM {band_sql()}),
+    pb AS (SELECT p.cve_id, p.commit_id, p.message, b.band_key FROM p JOIN bands b USING (doc_id) WHERE NOT starts_with(p.message, 'Merge')),
+    tw AS (SELECT DISTINCT pb.cve_id, pb.commit_id, 2 AS w FROM pb JOIN (SELECT cve_id, band_key FROM pb GROUP BY ALL HAVING count(*) > 1) s
+           USING (cve_id, band_key) WHERE NOT starts_with(lower(pb.message), 'merge')),
+    s AS (SELECT p.cve_id, p.repository, p.commit_id, p.ts, coalesce(x.w, 0)::BIGINT AS relevance FROM p LEFT JOIN (
+            SELECT cve_id, commit_id, sum(w) AS w FROM (SELECT cve_id, commit_id, w FROM h UNION ALL SELECT * FROM tw) GROUP BY ALL) x USING (cve_id, commit_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY relevance DESC, ts DESC, commit_id) AS rank FROM s),
+    seq AS (SELECT r.cve_id, r.rank, coalesce(list(pb.band_key) FILTER (pb.band_key IS NOT NULL), []) AS keys
+            FROM r LEFT JOIN pb USING (cve_id, commit_id) GROUP BY r.cve_id, r.rank),
+    walk(cve_id, rank, seen, keep) AS (
+      SELECT DISTINCT cve_id, 0::BIGINT, []::VARCHAR[], false FROM seq
+      UNION ALL
+      SELECT w.cve_id, s.rank, CASE WHEN list_has_any(seen, keys) THEN seen ELSE list_concat(seen, keys) END, NOT list_has_any(seen, keys)
+      FROM walk w JOIN seq s ON s.cve_id = w.cve_id AND s.rank = w.rank + 1)
+    SELECT r.cve_id, r.repository AS repo_url, r.commit_id, r.relevance, r.rank FROM r JOIN walk USING (cve_id, rank) WHERE keep"""
+
+
+@query("job_06_ranked_candidates", ranked_sql())
 def _(d):
     from vulnlake.plans.jobs import rank_candidates
 
     advisories, commits, weights = ranking_inputs(d)
-    mentions = commits.select(F.col("repo_url").alias("repository"), F.explode(X.issue_ids(F.col("message"))).alias("issue_id")).distinct()
-    issues = mentions.join(d("v_linked_issue"), "issue_id").select("repository", "issue_id", "content")
-    kept, _twins = rank_candidates(advisories, commits, weights, issues, issues)
-    return kept.select("cve_id", "repo_url", "commit_id", "relevance", "rank")
+    issues, tickets = linked_pages(d, commits.select(F.col("repo_url").alias("repository"), "message"))
+    kept, _twins = rank_candidates(advisories, commits, weights, issues, tickets)
+    return kept.select("cve_id", "repo_url", "commit_id", F.col("relevance").cast("long").alias("relevance"), F.col("rank").cast("long").alias("rank"))

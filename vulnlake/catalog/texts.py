@@ -209,7 +209,7 @@ HASHES = rf"""(SELECT DISTINCT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT %
   FROM (SELECT doc_id, unnest(string_split_regex(message, '\s+')) AS t FROM v_message) WHERE t <> '')"""
 
 
-def _bands() -> str:
+def band_sql() -> str:
     bands, rows = M.best_bands()
     return f"""(SELECT doc_id, md5(cast(i // {rows} AS varchar) || ':' || string_agg(cast(m AS varchar), ',' ORDER BY i)) AS band_key
       FROM (SELECT doc_id, i, min((a * h + b) % {M.PRIME}) AS m
@@ -221,13 +221,13 @@ def _band_rows(d):
     return TW.band_rows(d("v_message"), [], "doc_id", "message")
 
 
-@query("fun_17_band_keys", f"SELECT doc_id, band_key FROM {_bands()}")
+@query("fun_17_band_keys", f"SELECT doc_id, band_key FROM {band_sql()}")
 def _(d):
     return _band_rows(d)
 
 
 @query("joi_21_commits_with_twins", f"""
-    WITH b AS ({_bands()}), s AS (SELECT band_key FROM b GROUP BY band_key HAVING count(*) > 1)
+    WITH b AS ({band_sql()}), s AS (SELECT band_key FROM b GROUP BY band_key HAVING count(*) > 1)
     SELECT DISTINCT doc_id FROM b WHERE band_key IN (SELECT band_key FROM s)""")
 def _(d):
     return TW.with_twins(_band_rows(d), [], "doc_id")
@@ -239,7 +239,7 @@ def _(d):
 
 
 @query("rul_16_commit_has_twins", f"""
-    WITH b AS (SELECT doc_id, repository, band_key FROM {_bands()} JOIN v_message USING (doc_id)),
+    WITH b AS (SELECT doc_id, repository, band_key FROM {band_sql()} JOIN v_message USING (doc_id)),
     s AS (SELECT repository, band_key FROM b GROUP BY ALL HAVING count(*) > 1)
     SELECT DISTINCT doc_id, 2 AS relevance FROM b JOIN s USING (repository, band_key) JOIN v_message m USING (doc_id)
     WHERE NOT starts_with(lower(m.message), 'merge')""")
@@ -249,7 +249,7 @@ def _(d):
     commits = d("v_message")
     twins = TW.with_twins(TW.band_rows(commits, ["repository"], "doc_id", "message"), ["repository"], "doc_id")
     flagged = commits.join(twins.withColumn("has_twins", F.lit(True)), ["repository", "doc_id"], "left").withColumn(
-        "has_twins", F.coalesce("has_twins", F.lit(False)))
+        "has_twins", F.coalesce("has_twins", F.lit(False))).withColumn("_merge", RU.is_merge(F.col("message")))
     return RU.apply_rules(flagged, ["COMMIT_HAS_TWINS"]).filter("relevance > 0").select("doc_id", "relevance")
 
 
@@ -286,7 +286,7 @@ def _(d):
 
 
 @query("rul_19_twin_in_advisory", f"""
-    WITH b AS ({_bands()}), n AS {NAMED}
+    WITH b AS ({band_sql()}), n AS {NAMED}
     SELECT DISTINCT n.cve_id, o.doc_id FROM n JOIN b ON b.doc_id = n.doc_id JOIN b o ON o.band_key = b.band_key AND o.doc_id <> n.doc_id""")
 def _(d):
     return TW.twins_of_flagged(_named(d), _band_rows(d), ["cve_id"], [], "doc_id")
@@ -296,7 +296,7 @@ TAGS = "(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN [] ELSE ['v' || cast(doc_i
 
 
 @query("joi_26_tags_of_twins", f"""
-    WITH b AS ({_bands()}), t AS {TAGS}, kept AS (SELECT doc_id FROM t WHERE list_contains(tags, 'v1')),
+    WITH b AS ({band_sql()}), t AS {TAGS}, kept AS (SELECT doc_id FROM t WHERE list_contains(tags, 'v1')),
     pairs AS (SELECT DISTINCT b.doc_id, o.doc_id AS twin FROM b JOIN b o ON o.band_key = b.band_key AND o.doc_id <> b.doc_id
               WHERE b.doc_id IN (SELECT doc_id FROM kept))
     SELECT k.doc_id, 'v1' AS tag, coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN len(t.tags) > 0 THEN t.tags[1] ELSE 'no-tag' END)

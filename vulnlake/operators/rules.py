@@ -1,7 +1,8 @@
 """Weighted rules over (commit, advisory) rows.
 
 A rule is a column that lists the evidence it finds; it holds when the list is not empty.  All rules are
-evaluated side by side on the same row, so scoring adds no shuffle.
+evaluated side by side on the same narrow row: texts, changed lines and pages are searched once per commit for the terms
+of all its advisories, and a (commit, advisory) row carries only what was found.
 """
 
 from __future__ import annotations
@@ -45,79 +46,110 @@ def commit_features(commits: DataFrame, issues: DataFrame, tickets: DataFrame) -
     ``commits``: ``commit_id, repository, message, changed_files, diff``; ``issues`` and ``tickets``:
     ``(repository, issue_id, content)`` of linked pages that were stored.
     """
-    base = (
-        commits.withColumn("cve_refs", X.cve_ids(F.col("message")))
-        .withColumn("_issues", X.issue_ids(F.col("message")))
-        .withColumn("_tickets", X.jira_keys(F.col("repository"), F.col("message")))
-    )
-    linked = _linked(base, "_issues", issues, "ghissue_refs")
-    linked = _linked(linked, "_tickets", tickets, "jira_refs")
-    header = ["diff --git", "---", "+++"]
-    return (
-        linked.drop("_issues", "_tickets")
-        .withColumn("_message_lower", F.lower("message"))
-        .withColumn("_message_words", X.words(F.col("message")))
-        .withColumn("_files_lower", F.transform("changed_files", lambda f: F.lower(f)))
-        .withColumn("_code", F.filter("diff", lambda line: ~U.any_of([line.contains(h) for h in header])))
-        .withColumn("_repo_parts", F.split("repository", "/"))
-    )
+    ids = commits.select(
+        "commit_id", "repository", X.issue_ids(F.col("message")).alias("_issues"),
+        X.jira_keys(F.col("repository"), F.col("message")).alias("_tickets"))
+    linked = _linked(ids, "_issues", issues, "ghissue_refs").join(
+        _linked(ids, "_tickets", tickets, "jira_refs"), ["commit_id", "repository"], "full")
+    none = F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))
+    return commits.join(linked, ["commit_id", "repository"], "left").withColumns({
+        "cve_refs": X.cve_ids(F.col("message")),
+        **{name: F.coalesce(name, none) for name in ("ghissue_refs", "jira_refs")},
+    })
 
 
 def _linked(commits: DataFrame, ids: str, pages: DataFrame, name: str) -> DataFrame:
-    """Map of linked id -> stored content, empty text where nothing is stored."""
+    """Map of linked id -> stored content, empty text where nothing is stored, for the commits that link any."""
     mentions = commits.select("commit_id", "repository", F.explode(ids).alias("issue_id")).distinct()
     pages = pages.groupBy("repository", "issue_id").agg(F.max("content").alias("content"))  # one page for each link
-    entries = (
+    return (
         mentions.join(pages, ["repository", "issue_id"], "left")
         .groupBy("commit_id", "repository")
         .agg(
-            F.array_sort(F.collect_list(F.struct("issue_id", F.coalesce("content", F.lit("")).alias("content"))))
+            F.sort_array(F.collect_list(F.struct("issue_id", F.coalesce("content", F.lit("")).alias("content"))))
             .alias("_entries")
         )
-        .withColumn(name, F.map_from_entries("_entries"))
-        .drop("_entries")
+        .select("commit_id", "repository", F.map_from_entries("_entries").alias(name))
     )
-    empty = F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))
-    return commits.join(entries, ["commit_id", "repository"], "left").withColumn(name, F.coalesce(name, empty))
 
 
-def _refs() -> Column:
-    return F.map_keys("references")
+def is_merge(message: Column) -> Column:
+    return F.startswith(F.lower(message), F.lit("merge"))
 
 
-def _named_in_pages(pages: str) -> Column:
-    """Ids of linked pages whose text names this CVE and no other mention."""
-    entries = F.filter(
-        F.map_entries(pages),
-        lambda e: F.contains(e["value"], F.col("cve_id"))
-        & (F.size(F.regexp_extract_all(e["value"], F.lit(r"CVE-\d{4}-\d{4,8}"), F.lit(0))) == 1),
-    )
-    return F.transform(entries, lambda e: e["key"])
+def _single_mentions() -> Column:
+    """Linked pages that name one CVE only, with its id as far as its digits go."""
+    pages = F.concat(F.map_entries("ghissue_refs"), F.map_entries("jira_refs"))
+    one = F.filter(pages, lambda e: F.size(F.regexp_extract_all(e["value"], F.lit(r"CVE-\d{4}-\d{4,8}"), F.lit(0))) == 1)
+    return F.transform(one, lambda e: F.struct(
+        e["key"].alias("id"), F.regexp_extract(e["value"], r"CVE-\d{4}-\d{4,}", 0).alias("mention")))
 
 
 def _keywords_in_pages(pages: str) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(
+    return F.sort_array(F.array_distinct(F.flatten(
         F.transform(F.map_values(pages), lambda text: X.security_keywords(text)))))
 
 
+def _contained(terms: Column, text: Column) -> Column:
+    """The terms that a text contains; the text is an array's only entry, so it is made once and not for each term."""
+    return F.transform(F.array(text), lambda t: F.filter(terms, lambda k: F.contains(t, k)))[0]
+
+
+def commit_evidence(files: Column, keywords: Column) -> dict[str, Column]:
+    """What the rules need of a commit, in narrow columns: nothing of it is a text or a page.
+
+    ``files`` and ``keywords`` are the terms of the advisories for which the commit is a candidate; the commit's message,
+    paths and changed lines are searched for them here, once per commit.
+    """
+    paths = F.transform("changed_files", lambda f: F.lower(f))
+    own = F.split("repository", "/")
+    header = ["diff --git", "---", "+++"]
+    code = F.array_join(F.filter("diff", lambda line: ~U.any_of([line.contains(h) for h in header])), "\n")
+    usable = F.filter(files, lambda f: ~F.array_contains(own, F.lower(f)) & ~F.contains(f, F.lit("\n")))
+    known = F.filter(F.array_distinct(F.transform(files, lambda f: F.lower(f))), lambda f: (F.length(f) > 3) & ~F.array_contains(own, f))
+    message = F.lower("message")
+    return {
+        "_cve_refs": F.col("cve_refs"),
+        "_issue_ids": F.map_keys("ghissue_refs"),
+        "_ticket_ids": F.map_keys("jira_refs"),
+        "_mentions": _single_mentions(),
+        "_merge": is_merge(F.col("message")),
+        "_code_hits": F.when(F.size(usable) > 0, _contained(usable, code)).otherwise(F.array().cast(NO_EVIDENCE)),
+        "_file_hits": F.filter(
+            F.transform("changed_files", lambda c: F.struct(
+                c.alias("file"), F.filter(known, lambda f: F.contains(F.lower(c), f)).alias("terms"))),
+            lambda h: F.size(h["terms"]) > 0),
+        "_word_hits": F.array_intersect(files, X.words(F.col("message"))),
+        "_path_hits": F.filter(keywords, lambda k: ~F.contains("repository", F.lower(k)) & F.exists(paths, lambda c: F.contains(c, F.lower(k)))),
+        "_message_hits": _contained(F.filter(keywords, lambda k: ~F.contains("repository", k)), message),
+        "_sec_message": X.security_keywords(F.col("message")),
+        "_sec_issues": _keywords_in_pages("ghissue_refs"),
+        "_sec_tickets": _keywords_in_pages("jira_refs"),
+    }
+
+
+def _refs() -> Column:
+    return F.map_keys("references")
+
+
 def _sorted(values: Column) -> Column:
-    return F.array_sort(F.array_distinct(values))
+    return F.sort_array(F.array_distinct(values))
 
 
 def _vuln_id() -> Column:
-    only = (F.size("cve_refs") == 1) & F.array_contains("cve_refs", F.col("cve_id"))
-    return F.when(only, F.col("cve_refs"))
+    only = (F.size("_cve_refs") == 1) & F.array_contains("_cve_refs", F.col("cve_id"))
+    return F.when(only, F.col("_cve_refs"))
 
 
 def _xref_bug() -> Column:
     return _sorted(F.filter(
-        F.map_keys("jira_refs"), lambda k: F.exists(_refs(), lambda r: r.contains(k) & r.contains("jira"))))
+        "_ticket_ids", lambda k: F.exists(_refs(), lambda r: r.contains(k) & r.contains("jira"))))
 
 
 def _xref_issue() -> Column:
     own = F.filter(_refs(), lambda r: F.startswith(r, F.col("repository")))
     return _sorted(F.filter(
-        F.map_keys("ghissue_refs"), lambda k: F.exists(own, lambda r: F.array_contains(F.split(r, "/"), k))))
+        "_issue_ids", lambda k: F.exists(own, lambda r: F.array_contains(F.split(r, "/"), k))))
 
 
 def _in_reference() -> Column:
@@ -126,27 +158,18 @@ def _in_reference() -> Column:
     return F.transform(hits, lambda e: e["value"].cast("string"))
 
 
-def _changed_relevant() -> Column:
-    known = F.filter(
-        F.transform("files", lambda f: F.lower(f)),
-        lambda f: (F.length(f) > 3) & ~F.array_contains("_repo_parts", f),
-    )
-    return _sorted(F.filter("changed_files", lambda c: F.exists(known, lambda f: F.contains(F.lower(c), f))))
-
-
-def _relevant_code() -> Column:
-    usable = F.filter("files", lambda f: ~F.array_contains("_repo_parts", F.lower(f)))
-    return _sorted(F.filter(usable, lambda f: F.exists("_code", lambda line: F.contains(line, f))))
+def _in_linked_page() -> Column:
+    named = F.filter("_mentions", lambda m: F.startswith(m["mention"], F.col("cve_id")))
+    return _sorted(F.transform(named, lambda m: m["id"]))
 
 
-def _keywords_in_files() -> Column:
-    usable = F.filter("keywords", lambda k: ~F.contains("repository", F.lower(k)))
-    return _sorted(F.filter(usable, lambda k: F.exists("_files_lower", lambda p: F.contains(p, F.lower(k)))))
+def _changed_relevant() -> Column:
+    lower = F.transform("files", lambda f: F.lower(f))
+    return _sorted(F.transform(F.filter("_file_hits", lambda h: F.arrays_overlap(h["terms"], lower)), lambda h: h["file"]))
 
 
-def _keywords_in_message() -> Column:
-    return _sorted(F.filter(
-        "keywords", lambda k: F.contains("_message_lower", k) & ~F.contains("repository", k)))
+def _listed(terms: str, hits: str) -> Callable[[], Column]:
+    return lambda: _sorted(F.array_intersect(terms, hits))
 
 
 RULES: list[Rule] = [
@@ -157,29 +180,29 @@ RULES: list[Rule] = [
          "The commit and the advisory (including referenced pages) mention the same github issue: "),
     Rule("COMMIT_IN_REFERENCE", 64, _in_reference, "This commit is mentioned in the references, times: "),
     Rule("VULN_ID_IN_LINKED_ISSUE", 32,
-         lambda: _sorted(F.concat(_named_in_pages("ghissue_refs"), _named_in_pages("jira_refs"))),
+         _in_linked_page,
          "Pages linked to the commit that mention the Vuln ID: "),
     Rule("CHANGES_RELEVANT_FILES", 8, _changed_relevant, "The commit changes some relevant files: "),
-    Rule("CHANGES_RELEVANT_CODE", 8, _relevant_code,
+    Rule("CHANGES_RELEVANT_CODE", 8, _listed("files", "_code_hits"),
          "The commit modifies code containing relevant filename or methods: "),
-    Rule("RELEVANT_WORDS_IN_MESSAGE", 8, lambda: _sorted(F.array_intersect("files", "_message_words")),
+    Rule("RELEVANT_WORDS_IN_MESSAGE", 8, _listed("files", "_word_hits"),
          "The commit message contains some relevant words: "),
-    Rule("ADV_KEYWORDS_IN_FILES", 4, _keywords_in_files,
+    Rule("ADV_KEYWORDS_IN_FILES", 4, _listed("keywords", "_path_hits"),
          "An advisory keyword is contained in the changed files: "),
-    Rule("ADV_KEYWORDS_IN_MSG", 4, _keywords_in_message,
+    Rule("ADV_KEYWORDS_IN_MSG", 4, _listed("keywords", "_message_hits"),
          "The commit message and the advisory description contain the following keywords: "),
-    Rule("SEC_KEYWORDS_IN_MESSAGE", 4, lambda: X.security_keywords(F.col("message")),
+    Rule("SEC_KEYWORDS_IN_MESSAGE", 4, lambda: F.col("_sec_message"),
          "The commit message contains some security-related keywords: "),
-    Rule("SEC_KEYWORDS_IN_LINKED_GH", 4, lambda: _keywords_in_pages("ghissue_refs"),
+    Rule("SEC_KEYWORDS_IN_LINKED_GH", 4, lambda: F.col("_sec_issues"),
          "The linked github issues contain some security-related terms: "),
-    Rule("SEC_KEYWORDS_IN_LINKED_BUG", 4, lambda: _keywords_in_pages("jira_refs"),
+    Rule("SEC_KEYWORDS_IN_LINKED_BUG", 4, lambda: F.col("_sec_tickets"),
          "The linked bug tracking tickets contain some security-related terms: "),
-    Rule("GITHUB_ISSUE_IN_MESSAGE", 2, lambda: _sorted(F.map_keys("ghissue_refs")),
+    Rule("GITHUB_ISSUE_IN_MESSAGE", 2, lambda: _sorted(F.col("_issue_ids")),
          "The commit message references some github issue: "),
-    Rule("BUG_IN_MESSAGE", 2, lambda: _sorted(F.map_keys("jira_refs")),
+    Rule("BUG_IN_MESSAGE", 2, lambda: _sorted(F.col("_ticket_ids")),
          "The commit message references some bug tracking ticket: "),
     Rule("COMMIT_HAS_TWINS", 2,
-         lambda: F.when(F.col("has_twins") & ~F.lower("message").startswith("merge"), F.array(F.lit("twin"))),
+         lambda: F.when(F.col("has_twins") & ~F.col("_merge"), F.array(F.lit("twin"))),
          "This commit has one or more twins.", False),
 ]
 
@@ -196,12 +219,6 @@ OPTIONAL_RULES: list[Rule] = [
          "The commit message mentions an advisory page", False),
 ]
 
-ADVISORY_INDEPENDENT = {
-    "SEC_KEYWORDS_IN_MESSAGE", "SEC_KEYWORDS_IN_LINKED_GH", "SEC_KEYWORDS_IN_LINKED_BUG",
-    "GITHUB_ISSUE_IN_MESSAGE", "BUG_IN_MESSAGE", "COMMIT_HAS_TWINS",
-}
-
-
 def enabled_rules(ids: Sequence[str] = ("ALL",), rules: Sequence[Rule] = RULES) -> list[Rule]:
     return list(rules) if "ALL" in ids else [r for r in rules if r.id in ids]
 
@@ -250,18 +267,42 @@ def relevance(rules: Sequence[Rule]) -> Column:
 
 
 def apply_rules(pairs: DataFrame, ids: Sequence[str] = ("ALL",), rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Add ``relevance`` and ``matched_rules`` to (commit, advisory) rows.
-
-    Rules of the commit alone may have left their evidence on the row already (``precompute``).
-    """
+    """Add ``relevance`` and ``matched_rules`` to (commit, advisory) rows that carry the columns the rules look at."""
     active = enabled_rules(ids, rules)
-    missing = [r for r in active if f"_{r.id}" not in pairs.columns]
     scored = (
-        with_evidence(pairs, missing)
+        with_evidence(pairs, active)
         .withColumn("relevance", relevance(active))
         .withColumn("matched_rules", matched_rules(active))
     )
-    return scored.drop(*[f"_{r.id}" for r in rules])
+    return scored.drop(*[f"_{r.id}" for r in active])
+
+
+def score_pairs(
+    pairs: DataFrame, features: DataFrame, advisories: DataFrame, ids: Sequence[str] = ("ALL",),
+    rules: Sequence[Rule] = RULES, together: int = 64,
+) -> DataFrame:
+    """Pairs with ``relevance`` and ``matched_rules``; ``pairs`` has ``(cve_id, repository, commit_id, ..)``.
+
+    ``features`` are the commits (``commit_features``), ``advisories`` have ``(cve_id, repository, keywords, files,
+    references)``.  The pairs of a commit are gathered about ``together`` at a time with their advisories' terms, so a
+    commit's text is read and searched once for that many pairs and never copied to a pair; what the rules then see
+    are the terms it holds.  A commit with any number of candidates just has more such groups.
+    """
+    key = ["repository", "commit_id"]
+    known = advisories.select("cve_id", "repository", "keywords", "files", "references")
+    sizes = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64("cve_id"), F.ceil(F.col("_n") / together))
+    own = [c for c in pairs.columns if c not in key]
+    rows = pairs.join(sizes, key).withColumn("_part", part).join(known, ["cve_id", "repository"])
+    groups = rows.groupBy(*key, "_part").agg(
+        F.collect_list(F.struct(*own, "keywords", "files", "references")).alias("_members"),
+        F.array_distinct(F.flatten(F.collect_list("files"))).alias("_files"),
+        F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("_keywords"),
+    )
+    evidence = commit_evidence(F.col("_files"), F.col("_keywords"))
+    searched = groups.join(features, key).select(*key, "_members", *[c.alias(n) for n, c in evidence.items()])
+    spread = searched.select(*key, *evidence, F.explode("_members").alias("_m")).select(*key, *evidence, "_m.*")
+    return apply_rules(spread, ids, rules).drop(*evidence, "keywords", "files", "references")
 
 
 def with_twin_mentions(pairs: DataFrame, bands: DataFrame, scope: Sequence[str] = ("repository",)) -> DataFrame:
@@ -275,12 +316,6 @@ def with_twin_mentions(pairs: DataFrame, bands: DataFrame, scope: Sequence[str]
         "twin_in_advisory", F.coalesce("twin_in_advisory", F.lit(False)))
 
 
-def precompute(features: DataFrame) -> DataFrame:
-    """Evidence of the rules that look at the commit only, before commits meet their advisories."""
-    own = [r for r in RULES if r.id in ADVISORY_INDEPENDENT and r.id != "COMMIT_HAS_TWINS"]
-    return with_evidence(features, own)
-
-
 def mentions_advisory_page(message: Column) -> Column:
     """Message names a GitHub advisory."""
     return message.rlike(r"GHSA(?:-[a-z0-9]{4}){3}")

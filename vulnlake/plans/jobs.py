@@ -141,12 +141,16 @@ def build_change_tables(changes: DataFrame, spans: DataFrame) -> dict[str, DataF
 
 
 def candidate_pairs(
-    advisories: DataFrame, commits: DataFrame, weights: DataFrame, before: int, after: int, limit: int | None
+    advisories: DataFrame, commits: DataFrame, weights: DataFrame, before: int, after: int, limit: int | None,
+    twin_limit: int | None = None,
 ) -> DataFrame:
     """Candidates ``(cve_id, repo_url, commit_id, ts, position)`` of every advisory in one plan.
 
-    Around a commit the references name, if it is in the repository; around the reserved date where that gives
-    none.  Filtered, cut to the nearest ``limit`` if there is one, and joined by the named commits themselves.
+    Around the commits that the references name, whenever they were made; where the repository has none of them, around
+    the reserved date, and for an advisory without a date the whole repository.  Filtered, cut to the nearest ``limit``
+    if there is one, and joined by the named commits in the wide window around the date.  ``twin_limit`` narrows the
+    window of a fix that has more commits around it; a pair with a fix for which no window is narrow enough gets the date
+    window as well.
     """
     extension = F.transform("changed_files", lambda f: F.element_at(F.split(f, r"\."), -1))
     narrow = commits.select("commit_id", "repo_url", "ts", F.array_distinct(extension).alias("_ext"),
@@ -154,21 +158,25 @@ def candidate_pairs(
     slim = advisories.select("cve_id", "repo_url", "reserved", "extensions")
     wanted = (F.size("extensions") == 0) | F.arrays_overlap("_ext", "extensions")
     named_refs = L.fixing_commits(weights).select("cve_id", F.concat(F.lit("commit::"), "commit_id").alias("ref"))
-    named = cut_lineage(C.mentioned(named_refs, slim, narrow))
+    named = cut_lineage(C.mentioned(named_refs, slim, narrow, None))
     known = named.select("cve_id", "repo_url", F.col("ts").alias("author_ts"), F.col("ts").alias("commit_ts")).distinct()
     usable = narrow.filter("_usable")
-    around_fix = (
-        C.twin_window(known, narrow).filter("_usable").drop("author_ts", "commit_ts", "width")
-        .join(slim, ["cve_id", "repo_url"]).select("cve_id", "repo_url", "commit_id", "ts", "reserved")
+    columns = ["cve_id", "repo_url", "commit_id", "ts", "reserved"]
+    windows = C.twin_window(known, narrow, twin_limit)
+    around_fix = windows.filter("_usable").join(slim, R.PAIR).select(*columns)
+    closed = slim.join(around_fix.select(*R.PAIR).distinct(), R.PAIR, "left_anti")
+    if twin_limit is not None:
+        without = known.join(windows.select(*known.columns).distinct(), known.columns, "left_anti").select(*R.PAIR)
+        closed = closed.unionByName(slim.join(without, R.PAIR, "left_semi")).distinct()
+    around_date = C.within_days(closed.filter("reserved IS NOT NULL"), usable, before, after).filter(wanted).select(*columns)
+    undated = closed.filter("reserved IS NULL").join(usable, "repo_url").filter(wanted).select(*columns)
+    near = C.nearest(around_fix.unionByName(around_date).unionByName(undated).distinct(), limit).drop("reserved")
+    gap = F.abs(F.unix_timestamp("ts") - F.unix_timestamp("reserved"))
+    wide = K.WINDOW_DAYS * K.MENTIONED_WINDOW_FACTOR * K.DAY_SECONDS
+    extra = (
+        named.filter(F.coalesce(gap <= wide, F.lit(True))).select("cve_id", "repo_url", "commit_id", "ts").distinct()
+        .join(near, [*R.PAIR, "commit_id"], "left_anti")
     )
-    placed = around_fix.select(F.col("cve_id").alias("_cve"), F.col("repo_url").alias("_repo")).distinct()
-    unplaced = slim.join(placed, (F.col("cve_id") == F.col("_cve")) & (F.col("repo_url") == F.col("_repo")), "left_anti")
-    around_date = (
-        C.within_days(unplaced, usable, before, after).filter(wanted)
-        .select("cve_id", "repo_url", "commit_id", "ts", "reserved")
-    )
-    near = C.nearest(around_fix.unionByName(around_date).distinct(), limit).drop("reserved")
-    extra = named.select("cve_id", "repo_url", "commit_id", "ts").join(near, [*R.PAIR, "commit_id"], "left_anti")
     last = -F.unix_timestamp("ts") if limit is None else F.lit(limit + 1)
     return near.withColumn("position", F.col("position").cast("long")).unionByName(extra.withColumn("position", last.cast("long")))
 
@@ -185,31 +193,44 @@ def shuffled_work(pending: DataFrame, keys: Sequence[str], seed: int, most: int
 def rank_candidates(
     advisories: DataFrame, commits: DataFrame, weights: DataFrame, issues: DataFrame, tickets: DataFrame,
     rules: Sequence[str] = ("ALL",), before: int = K.WINDOW_DAYS, after: int = K.WINDOW_DAYS,
-    limit: int | None = None, message_chars: int | None = None,
+    limit: int | None = None, message_chars: int | None = None, twin_limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Ranked commits of every (CVE, repository) and the twins of the kept ones.
 
     ``advisories``: ``cve_id, repo_url, reserved, keywords, files, extensions, references``; ``commits``:
-    ``commit_id, repo_url, ts, message, changed_files, diff``.  ``message_chars`` cuts messages before twins are
-    looked for; by default whole messages count.
+    ``commit_id, repo_url, ts, message, changed_files, diff``; ``issues`` and ``tickets``: ``repository, issue_id,
+    content``.  ``message_chars`` cuts messages before twins are looked for; by default whole messages count.  The result
+    has ids, position, relevance, matched rules and rank; ``commit_details`` adds what reports show of a commit.
     """
     # pairs, bands and scores feed several later steps; reliable checkpoints keep them from being computed again
-    pairs = cut_lineage(candidate_pairs(advisories, commits, weights, before, after, limit))
+    pairs = cut_lineage(candidate_pairs(advisories, commits, weights, before, after, limit, twin_limit))
     used = commits.join(pairs.select("repo_url", "commit_id").distinct(), ["repo_url", "commit_id"], "left_semi")
-    renamed = used.withColumnRenamed("repo_url", "repository").withColumn("changed_files", C.relevant_files(F.col("changed_files")))
-    features = RU.precompute(RU.commit_features(renamed.drop("ts"), issues, tickets)).withColumn("repo_url", F.col("repository"))
-    bands = cut_lineage(pairs.select(*R.PAIR, "commit_id").join(
-        TW.band_rows(used.filter(~F.col("message").startswith("Merge")), ["repo_url"], "commit_id", "message", message_chars),
-        ["repo_url", "commit_id"]))
-    twins = TW.with_twins(bands, R.PAIR, "commit_id").withColumn("has_twins", F.lit(True))
-    rows = (
-        pairs.join(features, ["repo_url", "commit_id"])
-        .join(advisories.drop("reserved", "extensions"), R.PAIR)
-        .join(twins, [*R.PAIR, "commit_id"], "left")
-        .withColumn("has_twins", F.coalesce("has_twins", F.lit(False)))
-    )
-    ranked = cut_lineage(R.rank(RU.apply_rules(rows, rules), F.col("position")))
-    if not {"ALL", "COMMIT_HAS_TWINS"} & set(rules):  # nothing counts as a twin without that rule
-        return ranked, bands.limit(0).select(*R.PAIR, "commit_id", F.col("commit_id").alias("twin"))
+    with_twins = bool({"ALL", "COMMIT_HAS_TWINS"} & set(rules))  # nothing counts as a twin without that rule
+    if with_twins:
+        bands = cut_lineage(pairs.select(*R.PAIR, "commit_id").join(
+            TW.band_rows(used.filter(~F.col("message").startswith("Merge")), ["repo_url"], "commit_id", "message", message_chars),
+            ["repo_url", "commit_id"]))
+        twins = TW.with_twins(bands, R.PAIR, "commit_id").withColumn("has_twins", F.lit(True))
+        flagged = pairs.join(twins, [*R.PAIR, "commit_id"], "left").withColumn("has_twins", F.coalesce("has_twins", F.lit(False)))
+    else:
+        flagged = pairs.withColumn("has_twins", F.lit(False))
+    scored = RU.score_pairs(
+        flagged.withColumnRenamed("repo_url", "repository"), _features(used, issues, tickets),
+        advisories.withColumnRenamed("repo_url", "repository"), rules)
+    ranked = cut_lineage(R.rank(scored.withColumnRenamed("repository", "repo_url"), F.col("position")))
+    if not with_twins:
+        return ranked, ranked.limit(0).select(*R.PAIR, "commit_id", F.col("commit_id").alias("twin"))
     kept = TW.remove_twins(ranked, bands, R.PAIR, "commit_id", "rank")
     return kept, TW.twins_of_kept(kept, bands, R.PAIR, "commit_id")
+
+
+def _features(commits: DataFrame, issues: DataFrame, tickets: DataFrame) -> DataFrame:
+    renamed = commits.withColumnRenamed("repo_url", "repository").withColumn("changed_files", C.relevant_files(F.col("changed_files")))
+    return RU.commit_features(renamed.drop("ts"), issues, tickets)
+
+
+def commit_details(kept: DataFrame, commits: DataFrame, issues: DataFrame, tickets: DataFrame) -> DataFrame:
+    """Ranked commits with message, files, changes and linked pages, for reports."""
+    ids = kept.select("repo_url", "commit_id").distinct()
+    details = _features(commits.join(ids, ["repo_url", "commit_id"], "left_semi"), issues, tickets)
+    return kept.join(details.withColumnRenamed("repository", "repo_url"), ["repo_url", "commit_id"])
