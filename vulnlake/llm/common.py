@@ -20,6 +20,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def plain_names(docs: DataFrame) -> DataFrame:
+    """The same columns named c0, c1, ..; names with dots cannot be handed to Python workers."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
 def n_words(text: Column) -> Column:
     """Number of words of ``WORD``; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
