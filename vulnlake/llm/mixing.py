@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vulnlake.llm.common import cut_lineage, n_words
+from vulnlake.llm.common import cut_lineage, n_words, whole_row
 
 BINS = 4096
 
@@ -106,7 +106,7 @@ def mix(
     bounds = cut_lineage(last.select(
         F.col("_s").alias("_t"), F.col("rank_value").alias("_r"), F.col("doc_id").alias("_d"), (F.col("_need") * 2 >= F.col("_sum")).alias("_with")
     ))
-    rows = _ranked(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", size), targets, seed)
+    rows = _ranked(docs.select(whole_row(docs).alias("doc"), "doc_id", "source", size), targets, seed)
     rows = rows.join(bounds, F.col("source").eqNullSafe(F.col("_t")), "left")
     same = F.col("rank_value") == F.col("_r")
     at_cut = same & F.col("doc_id").eqNullSafe(F.col("_d"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import texts_of
+from vulnlake.llm.common import plain_names, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("id_number", "name", "secret")
@@ -302,18 +302,18 @@ def redact(text: str, model: Model) -> str:
     return "".join(out) + text[at:]
 
 
-def _redacted(batches: Iterable[pa.RecordBatch], model: Model, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+def _redacted(batches: Iterable[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(names.index("text")).to_pylist()
-        new = pa.array([x if x is None else redact(x, model) for x in texts], pa.string())
-        yield pa.RecordBatch.from_arrays([new if n == "text" else batch.column(i) for i, n in enumerate(names)], list(names))
+        new = pa.array([x if x is None else redact(x, model) for x in batch.column(at).to_pylist()], pa.string())
+        yield batch.set_column(at, batch.schema.field(at).name, new)
 
 
 def redacted_documents(docs: DataFrame, model: Model | None = None, threshold: float = 0.5) -> DataFrame:
     """All documents, personal data replaced in ``text`` (and ``n_chars`` recounted where that column exists)."""
     model = model or train(docs, threshold)
     names = list(docs.columns)
-    out = docs.mapInArrow(lambda batches: _redacted(batches, model, names), docs.schema)
+    plain, at = plain_names(docs), names.index("text")
+    out = plain.mapInArrow(lambda batches: _redacted(batches, model, at), plain.schema)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out
+        out = out.withColumn(f"c{names.index('n_chars')}", F.length(f"c{at}").cast(dict(docs.dtypes)["n_chars"]))
+    return out.toDF(*names)
