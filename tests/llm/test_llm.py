@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vulnlake.llm import jaccard_join, licenses, mixing, neighbours, packing, passages, pii, quality, substrings, toxicity
 
@@ -519,3 +520,74 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     words = sum(len(r[1].split()) for r in kept[2])
     assert abs(sum(len(r[1].split()) for r in kept[3]) - 1.5 * words) < 200
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[4])
+
+
+def test_columns_of_any_name_go_along(spark):
+    """Stages keep extra columns whose names hold dots or clash with helper names."""
+    texts = prose(30, 77) + ["you idiot moron " * 4] * 3
+    docs = frame(spark, texts)
+    odd = docs.withColumns({"_row_key": F.lit(1), "doc": F.lit("x"), "size": F.lit(2), "_text": F.lit("t")}).withColumn("key", F.struct(F.lit(1).alias("in.ner")))
+    odd = odd.toDF(*[{"doc": "do.t", "size": "si`ze"}.get(c, c) for c in odd.columns])
+    labels = spark.createDataFrame([(i, 1, int(i >= 30)) for i in range(33)], "doc_id long, quality int, toxic int")
+    for out in (toxicity.clean_documents(odd, labels), jaccard_join.one_per_component(odd), pii.redacted_documents(odd), mixing.mixed_documents(odd)):
+        assert out.columns == odd.columns and out.count() > 0
+        assert out.schema["key"].dataType == odd.schema["key"].dataType
+
+
+def test_toxicity_of_copies_is_learnt_in_one_fold(spark):
+    texts = [f"text {i % 9} idiot" if i % 2 else f"text {i % 9} fine" for i in range(60)]
+    folds = {t: toxicity.fold_of(t, 4) for t in texts}
+    assert set(folds.values()) <= set(range(4)) and len(set(folds.values())) > 1
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    on_executors = toxicity.train(frame(spark, texts), labels)
+    plain = toxicity.fit_chain(texts, [i % 2 for i in range(60)])
+    assert on_executors.vocabulary == plain.vocabulary
+    for a, b in zip(on_executors.links, plain.links):
+        assert np.allclose(a.words, b.words) and np.allclose(a.earlier, b.earlier) and np.isclose(a.bias, b.bias)
+
+
+def _long_texts(n, words=3000, shared=0.5, seed=21):
+    """Unrelated long texts that share pages of boilerplate."""
+    rng = random.Random(seed)
+    page = [f"page{i}" for i in range(int(words * shared))]
+    return [" ".join(page + [f"own{t}x{rng.randrange(10**9)}" for _ in range(words - len(page))]) for t in range(n)]
+
+
+def test_long_texts_with_a_common_page_are_no_candidates(spark, monkeypatch):
+    """Candidates grow in proportion to the texts, not with the square of the group that shares the page."""
+    asked = []
+    verify = jaccard_join.Join.verified
+    monkeypatch.setattr(jaccard_join.Join, "verified", lambda self, pairs: asked.append(pairs.count()) or verify(self, pairs))
+    figures = []
+    for n in (100, 400):
+        texts = _long_texts(n)
+        texts += [texts[3] + " end", texts[5].replace("own5x", "new5x", 90)]
+        got = jaccard_join.similar_documents(frame(spark, texts)).collect()
+        groups = {r.doc_id: r.component_id for r in got}
+        assert groups[n] == 3 and groups[n + 1] in (5, n + 1) and sum(v != k for k, v in groups.items()) <= 2
+        figures.append(sum(asked))
+        asked.clear()
+    assert figures[1] < 6 * figures[0] + 1000, figures
+
+
+def test_folded_sketches_bound_the_difference(spark):
+    rng = random.Random(6)
+    texts = []
+    for n in (30, 400, 900, 1100, 2500, 5200):
+        base = [f"t{rng.randrange(10**8)}" for _ in range(n)]
+        for share in (0.0, 0.02, 0.1):
+            texts.append(" ".join(w if rng.random() >= share else w + "x" for w in base))
+    rows = frame(spark, texts)
+    join = jaccard_join.Join(rows, 80)
+    ids = join.sets.select("set")
+    data = {r.set: r for r in join._data(ids, False).collect()}
+    of = {r.doc_id: r.set for r in join.sets.collect()}
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if min(len(sets[i]), len(sets[j])) * 100 >= 80 * max(len(sets[i]), len(sets[j]))]
+    df = spark.createDataFrame([(i, j, data[of[i]].fold, data[of[j]].fold) for i, j in pairs], "i int, j int, fa array<long>, fb array<long>")
+    for r in df.select("i", "j", jaccard_join.differing("fa", "fb").alias("d")).collect():
+        true = len(sets[r.i] ^ sets[r.j])
+        assert r.d <= true and (r.d - true) % 2 == 0
+        if true > 0.9 * (len(sets[r.i]) + len(sets[r.j])):  # unrelated
+            assert 180 * (len(sets[r.i]) + len(sets[r.j]) - r.d) < 160 * (len(sets[r.i]) + len(sets[r.j]))
