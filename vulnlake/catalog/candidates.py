@@ -301,7 +301,7 @@ def _(d):
 def _(d):
     from vulnlake.operators.keyed import with_position
 
-    placed = with_position(d("documents"), [F.col("source"), F.desc("n_chars"), F.col("doc_id")])
+    placed = with_position(d("documents").select("doc_id", "source", "n_chars"), [F.col("source"), F.desc("n_chars"), F.col("doc_id")])
     start = placed.groupBy("source").agg((F.min("pos") - 1).alias("_start"))
     reports = placed.join(start, "source").select(
         F.col("source").alias("cve_id"), F.col("doc_id").cast("string").alias("commit_id"), (F.col("pos") - F.col("_start")).alias("rank"),

@@ -15,6 +15,7 @@ from vulnlake.functions import urls as U
 from vulnlake.functions import versions as V
 from vulnlake.operators import tags as TG
 from vulnlake.operators import twins as TW
+from vulnlake.session import cut_lineage
 
 def _msg():
     return F.col("message")
@@ -238,6 +239,23 @@ def _(d):
     return TW.twin_groups(_band_rows(d), [], "doc_id")
 
 
+@query("set_08_commits_without_twins", f"""
+    WITH RECURSIVE b AS (SELECT doc_id, repository, band_key FROM {band_sql()} JOIN v_message USING (doc_id)),
+    r AS (SELECT repository, doc_id, row_number() OVER (PARTITION BY repository ORDER BY doc_id % 7, doc_id) AS rank FROM v_message),
+    seq AS (SELECT r.repository, r.rank, coalesce(list(b.band_key) FILTER (b.band_key IS NOT NULL), []) AS keys
+            FROM r LEFT JOIN b USING (repository, doc_id) GROUP BY r.repository, r.rank),
+    walk(repository, rank, seen, keep) AS (
+      SELECT DISTINCT repository, 0::BIGINT, []::VARCHAR[], false FROM seq
+      UNION ALL
+      SELECT w.repository, s.rank, CASE WHEN list_has_any(seen, keys) THEN seen ELSE list_concat(seen, keys) END, NOT list_has_any(seen, keys)
+      FROM walk w JOIN seq s ON s.repository = w.repository AND s.rank = w.rank + 1)
+    SELECT r.doc_id FROM r JOIN walk USING (repository, rank) WHERE keep""")
+def _(d):
+    ranked = cut_lineage(d.sql("SELECT repository, doc_id, row_number() OVER (PARTITION BY repository ORDER BY doc_id % 7, doc_id) AS rank FROM v_message"))
+    bands = TW.band_rows(d("v_message"), ["repository"], "doc_id", "message")
+    return TW.remove_twins(ranked, bands, ["repository"], "doc_id", "rank").select("doc_id")
+
+
 @query("rul_16_commit_has_twins", f"""
     WITH b AS (SELECT doc_id, repository, band_key FROM {band_sql()} JOIN v_message USING (doc_id)),
     s AS (SELECT repository, band_key FROM b GROUP BY ALL HAVING count(*) > 1)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vulnlake.session import cut_lineage
@@ -54,31 +57,52 @@ def top_k_per_key(
     )
 
 
+def _sorted_slices(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The sorted rows, kept: ``_slice`` is the sorted part of a row, ``_nth`` its place in it, from 0."""
+    row = F.col("_row")
+    kept = cut_lineage(df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
+    return kept.withColumns({"_slice": F.shiftright(row, 33), "_nth": row.bitwiseAND((1 << 33) - 1)}).drop("_row")
+
+
+def _offsets(totals: DataFrame) -> dict[int, int]:
+    """What stands before each slice, from one total per slice; as many numbers as the sort had parts."""
+    before, out = 0, {}
+    for row in sorted(totals.collect()):
+        out[row[0]] = before
+        before += row[1]
+    return out
+
+
 def running_total(df: DataFrame, order: Sequence[Column], weight: Column, name: str) -> DataFrame:
     """Sum of ``weight`` over all rows up to and including this one, over the whole table.
 
-    Range-sorts the table, keeps the sorted copy, sums inside every sorted slice and adds the totals of
-    the slices before it; only one number per slice is ever brought together.
+    Range-sorts the table, keeps the sorted copy, and reads it as it lies: every sorted slice is summed up as a stream,
+    from the total of the slices before it.  Only one number per slice is ever brought together, and nothing but the
+    sort is shuffled.
     """
-    sorted_rows = cut_lineage(
-        df.withColumn("_weight", weight.cast("long"))
-        .orderBy(*order)
-        .withColumn("_row", F.monotonically_increasing_id())
-    ).withColumn("_slice", F.shiftright("_row", 33))
-    totals = sorted_rows.groupBy("_slice").agg(F.sum("_weight").alias("_total"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy("_slice").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        sorted_rows.withColumn(name, F.sum("_weight").over(inside))
-        .join(offsets, "_slice")
-        .withColumn(name, F.col(name) + F.col("_offset"))
-        .drop("_slice", "_row", "_weight", "_offset")
-    )
+    slices = _sorted_slices(df.withColumn("_weight", weight.cast("long")), order)
+    offsets = _offsets(slices.groupBy("_slice").agg(F.sum("_weight")))
+
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = offsets[batch.column(0)[0].as_py()] if at is None else at
+            total = np.cumsum(batch.column(1).to_numpy(zero_copy_only=False)) + at
+            at = int(total[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(total, pa.int64())], ["_all", name])
+
+    rows = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all")
+    schema = T.StructType([T.StructField("_all", df.schema), T.StructField(name, T.LongType())])
+    return slices.select("_slice", "_weight", rows).mapInArrow(summed, schema).select("_all.*", name)
 
 
 def with_position(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
-    """Row number over the whole table, starting at 1."""
-    return running_total(df, order, F.lit(1), name)
+    """Row number over the whole table, starting at 1: the place in its sorted slice after the rows of those before."""
+    slices = _sorted_slices(df, order)
+    offsets = _offsets(slices.groupBy("_slice").agg(F.count(F.lit(1))))
+    spark = df.sparkSession
+    before = spark.createDataFrame(list(offsets.items()), "_slice long, _before long")
+    placed = slices.join(F.broadcast(before), "_slice")  # one row for each part of the sort
+    return placed.withColumn(name, F.col("_before") + F.col("_nth") + 1).select(*[F.col(f"`{c}`") for c in df.columns], name)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vulnlake import constants as K
 from vulnlake import schema as S
@@ -18,7 +19,8 @@ from vulnlake.operators import rules as RU
 from vulnlake.operators import twins as TW
 from vulnlake.operators.changes import file_rows, method_rows
 from vulnlake.operators.keyed import first_per_key, top_k_per_key
-from vulnlake.operators.tables import conform
+from vulnlake.operators.store import Store, Transaction
+from vulnlake.operators.tables import conform, insert_ignore, stringify
 from vulnlake.session import cut_lineage
 from vulnlake.sources import feeds
 
@@ -34,6 +36,25 @@ def map_cpe_to_cve(projects: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
+def apply_cpe_mappings(store: Store) -> DataFrame:
+    """Fill ``cve_project`` from ``cpe_project`` by the products that the records in ``cve`` name; one transaction.
+
+    The products of each CVE become the table ``cve_cpe_mapper``.  A (CVE, project) that is there already keeps its row.
+    Returns the products with a project that no CVE names, with the number of their projects.
+    """
+    def change(work: Transaction) -> None:
+        mapping = feeds.cpe_names(work.read("cve"))
+        projects = conform(map_cpe_to_cve(work.read("cpe_project"), mapping), S.CVE_PROJECT, S.CVE_PROJECT_DEFAULTS)
+        work.replace("cve_cpe_mapper", mapping)
+        if work.exists("cve_project"):
+            projects = insert_ignore(work.read("cve_project"), projects, S.CVE_PROJECT_KEY, [F.col("rel_type")])
+        work.replace("cve_project", projects)
+
+    store.retry(change)
+    return store.read("cpe_project").join(store.read("cve_cpe_mapper"), "cpe_name", "left_anti").groupBy("cpe_name").agg(
+        F.count(F.lit(1)).alias("projects"))
+
+
 def is_pending(min_score: int = K.MIN_FIX_SCORE) -> Column:
     return (F.col("score") >= min_score) & (F.col("extraction_status") == K.NOT_STARTED)
 
@@ -83,6 +104,20 @@ def build_cve_tables(spark: SparkSession, nvd: str, cwe: str) -> dict[str, DataF
     return {"cve": cve, "cwe": feeds.read_cwe(spark, cwe), "cwe_classification": feeds.weaknesses(cve)}
 
 
+def replace_cve(spark: SparkSession, store: Store, path: str) -> int:
+    """Replace ``cve`` and ``cwe_classification`` by the records of one own file, all values as text.
+
+    The file is a feed (``vulnerabilities``) or a plain list of its records.  An id that stands in it twice is an error,
+    and then nothing is replaced.
+    """
+    both = T.StructType([*S.NVD.fields, *S.NVD["vulnerabilities"].dataType.elementType.fields])
+    rows = spark.read.schema(both).option("multiLine", True).json(path)
+    nested = rows.select(F.explode("vulnerabilities").alias("v")).select("v.cve", "v.configurations")
+    records = nested.unionByName(rows.select("cve", "configurations")).filter("cve.id IS NOT NULL")
+    cve = feeds.flatten_cve(records)
+    return store.commit({"cve": stringify(cve), "cwe_classification": feeds.weaknesses(cve)}, {"cve": ["cve_id"]})
+
+
 def link_references(cve: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``fixes`` and ``cve_project`` rows from the references of the CVEs."""
     fixes, projects = L.project_links(feeds.references(cve), packages)
