@@ -591,3 +591,18 @@ def test_folded_sketches_bound_the_difference(spark):
         assert r.d <= true and (r.d - true) % 2 == 0
         if true > 0.9 * (len(sets[r.i]) + len(sets[r.j])):  # unrelated
             assert 180 * (len(sets[r.i]) + len(sets[r.j]) - r.d) < 160 * (len(sets[r.i]) + len(sets[r.j]))
+
+
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(3)
+    plain = rng.normal(size=(60, 8))
+    for factor in (1e200, 1e-200, 1.0):
+        df = spark.createDataFrame([(i, (v * factor).tolist()) for i, v in enumerate(plain)], "vec_id long, embedding array<double>")
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in neighbours.nearest(df, df.vec_id % 50 == 0).collect()}
+        assert len(got) == 10 and all(np.isfinite(s) and -1 <= s <= 1.000001 for _, s in got.values())
+        for q in (0, 50):
+            near = plain @ plain[q] / np.linalg.norm(plain, axis=1) / np.linalg.norm(plain[q])
+            near[q] = -2
+            assert got[q, 1][0] == int(near.argmax()) and got[q, 1][1] == pytest.approx(near.max(), abs=1e-12)
+    nothing = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert neighbours.nearest(nothing, nothing.vec_id % 50 == 0).count() == 0

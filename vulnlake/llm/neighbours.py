@@ -58,6 +58,15 @@ def axes(vectors: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
     return np.concatenate([x, -x], 1)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors with their largest component between a half and one: squares neither overflow nor vanish.
+
+    The factor is a power of two, so cosines stay what they are to the last bit.
+    """
+    vectors = vectors.astype(np.float64)
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True, initial=0))[1])
+
+
 def _valid(vector: Column) -> Column:
     big = F.lit(float("inf"))
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big))
@@ -84,9 +93,10 @@ def _bucketed(batches: Iterable[pa.RecordBatch], tables: int, probes: float, blo
         ids = batch.column("id").to_numpy()
         out: list[list] = [[] for _ in range(6)]
         for at, vectors in _vectors(batch):
+            vectors = scaled(vectors)
             data = [v.tobytes() for v in np.ascontiguousarray(vectors, np.float64)]
             for table in range(tables):
-                along = axes(vectors.astype(np.float64), table)
+                along = axes(vectors, table)
                 if asking:
                     n = max(1, round(along.shape[1] * probes))
                     near = np.argsort(-along, axis=1, kind="stable")[:, :n]
