@@ -83,3 +83,27 @@ def test_ranking_is_narrow_and_details_come_back(spark, rows):
     details = jobs.commit_details(kept, commits, issues, tickets)
     reports = R.report_rows(details, advisories.select("cve_id", "repo_url"), twins, with_diff=True)
     assert [c.jira_refs for c in reports.first().commits] == [{"AMQ-7": "about CVE-2024-1000 attack"}, {}]
+
+
+def test_pending_pairs_are_ranked_to_their_end(spark, rows, tmp_path):
+    from vulnlake import constants as K
+    from vulnlake.operators.store import Store
+    from vulnlake.plans import pending as P
+
+    repo, gone = "https://github.com/o/r", "https://github.com/o/gone"
+    commits = commits_of(spark, [("abcdef1", repo, 0), ("b1", repo, 1)]).withColumn("message", F.when(F.col("commit_id").startswith("a"), "fixes CVE-2024-1000").otherwise("other"))
+    advisories = advisories_of(spark, [("CVE-2024-1000", repo, 0, []), ("CVE-2024-2000", repo, 900, [])]).withColumns({
+        "keywords": F.array().cast("array<string>"), "files": F.array().cast("array<string>"),
+        "references": F.create_map(F.lit("https://x"), F.lit(2))})
+    page = spark.createDataFrame([], "repository string, issue_id string, content string")
+    fixes = spark.createDataFrame([], "cve_id string, repo_url string, hash string")
+    states = spark.createDataFrame([(repo, "Available")], "project_url string, repo_state string")
+    store = Store(spark, str(tmp_path))
+    P.enter_pairs(store, spark.createDataFrame(
+        [("CVE-2024-1000", repo, "X", "False"), ("CVE-2024-2000", repo, "X", "False"), ("CVE-2024-2000", gone, "X", "False")],
+        "cve string, project_url string, rel_type string, checked string"), buckets=2)
+    rank = P.candidate_ranking(advisories, commits, weights_of(spark, []), page, page, fixes, states)
+    P.run_pending(store, rank, "w")
+    assert rows(store.read("cve_project"), "cve", "project_url", "checked") == [
+        ("CVE-2024-1000", repo, K.PAIR_FIX_FOUND), ("CVE-2024-2000", gone, K.PAIR_REPO_REMOVED), ("CVE-2024-2000", repo, K.PAIR_NO_FIX_FOUND)]
+    assert [(r.cve, r.hash[:7], r.score) for r in store.read("candidates").collect()] == [("CVE-2024-1000", "abcdef1", 64)]

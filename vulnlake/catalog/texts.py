@@ -66,16 +66,16 @@ def _(d):
     return d("documents").select("doc_id", F.explode(X.version_numbers(F.col("text"))).alias("version"))
 
 
-FILES = r"""
+EXTENSIONS = "[" + ", ".join(f"'{e}'" for e in K.SOURCE_EXTENSIONS) + "]"
+FILES = rf"""
     SELECT DISTINCT doc_id, unnest(CASE
         WHEN w = 'Node.js' THEN []
-        WHEN e <> '' AND list_contains(['java', 'c', 'cpp', 'h', 'py', 'js', 'xml', 'go', 'rb', 'php', 'sh', 'scale', 'lua',
-             'm', 'pl', 'ts', 'swift', 'sql', 'groovy', 'erl', 'swf', 'vue', 'bat', 's', 'ejs', 'yaml', 'yml', 'jar', 'jsp'], e)
+        WHEN e <> '' AND list_contains({EXTENSIONS}, e)
              THEN [s]
         WHEN e <> '' AND NOT regexp_full_match(e, '[0-9]+') AND NOT regexp_matches(w, '\d+(?:\.\d+)+') THEN [e, s]
-        WHEN regexp_matches(w, '[a-zA-Z][a-zA-Z]+[A-Z]\w*|(?:[a-zA-Z]{2,}[_-])+[a-zA-Z]{2,}') THEN [w]
+        WHEN regexp_matches(w, '[a-zA-Z][a-zA-Z]+[A-Z]\w*|(?:[a-zA-Z]{{2,}}[_-])+[a-zA-Z]{{2,}}') THEN [w]
         ELSE [] END) AS name
-    FROM (SELECT doc_id, w, regexp_extract(w, '(?:(\w{2,})\.)+(\w+)', 1) AS s, regexp_extract(w, '(?:(\w{2,})\.)+(\w+)', 2) AS e
+    FROM (SELECT doc_id, w, regexp_extract(w, '(?:(\w{{2,}})\.)+(\w+)', 1) AS s, regexp_extract(w, '(?:(\w{{2,}})\.)+(\w+)', 2) AS e
       FROM (SELECT doc_id, string_split_regex(regexp_replace(word, '^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$', '', 'g'), '[\\/]')[-1] AS w
         FROM (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS word FROM documents) WHERE word <> ''))"""
 
@@ -418,7 +418,7 @@ def _near(words: list[str]) -> str:
 
 
 @query("fun_23_versions_in_text", f"""
-    SELECT doc_id, {_near(["version", "through", "versions"])} AS affected, {_near(["before", "prior to"])} AS fixed
+    SELECT doc_id, {_near(K.AFFECTED_VERSION_WORDS)} AS affected, {_near(K.FIXED_VERSION_WORDS)} AS fixed
     FROM (SELECT doc_id, replace(replace(text, ' with ', ' through '), ' is ', ' before ') AS text FROM documents)""")
 def _(d):
     text = F.replace(F.replace("text", F.lit(" with "), F.lit(" through ")), F.lit(" is "), F.lit(" before "))

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from vulnlake import constants as K
 
 
+#: Language by file extension.
+LANGUAGES = {
+    "c": "C", "h": "C", "cpp": "C++", "cc": "C++", "hpp": "C++", "cs": "C#", "java": "Java",
+    "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "py": "Python", "rb": "Ruby",
+    "php": "PHP", "go": "Go", "rs": "Rust", "swift": "Swift", "kt": "Kotlin", "scala": "Scala",
+    "sh": "Shell", "pl": "Perl", "lua": "Lua", "sql": "SQL", "html": "HTML", "css": "CSS",
+    "groovy": "Groovy", "erl": "Erlang", "m": "Objective-C", "md": "Markdown", "json": "JSON",
+}
+
+
 def words(text: Column) -> Column:
     """Tokens between white space, without empty ones."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -42,12 +52,6 @@ def security_keywords(text: Column) -> Column:
     return F.array_sort(F.array_intersect(listed, words(F.lower(text))))
 
 
-def security_phrases(text: Column) -> Column:
-    """Listed words and phrases anywhere between word limits."""
-    pattern = r"(?:^|[.,:\s]|\b)(" + "|".join(K.SECURITY_KEYWORDS) + r")(?:$|[.,:\s]|\b)"
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))))
-
-
 def alphanumeric_tokens(text: Column, longer_than: int) -> Column:
     """Distinct lower-case tokens of letters and digits."""
     tokens = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
@@ -122,7 +126,7 @@ def is_real_version(text: Column) -> Column:
 
 def language(path: Column, code: Column) -> Column:
     """Language by file extension, ``unknown`` without code or for an unlisted extension."""
-    pairs = [F.lit(x) for entry in K.LANGUAGES.items() for x in entry]
+    pairs = [F.lit(x) for entry in LANGUAGES.items() for x in entry]
     extension = F.lower(F.element_at(F.split(path, r"\."), -1))
     known = F.try_element_at(F.create_map(*pairs), extension)
     return F.when(F.coalesce(F.trim(code), F.lit("")) != "", F.coalesce(known, F.lit("unknown"))).otherwise("unknown")

@@ -30,12 +30,6 @@ def read_nvd(spark: SparkSession, path: str, partitions: int | None = None) -> D
     return rows.repartition(partitions) if partitions else rows.repartition("cve.id")
 
 
-def rejected_files(spark: SparkSession, path: str, schema: object = S.NVD) -> DataFrame:
-    """Files that could not be parsed, with their text."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), "_corrupt_record").filter("_corrupt_record is not null")
-
-
 def _first(metrics: list[str]) -> list[Column]:
     return [F.get(F.col(f"cve.metrics.{m}"), F.lit(0)) for m in metrics]
 
