@@ -278,32 +278,50 @@ def rarest(tail: bytes, ranks: np.ndarray, kind: str) -> np.ndarray:
     return own[own < 0xFFFFFFFF].astype(np.uint64)
 
 
-def _pairs(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and second place of all pairs of terms, rarest first, and a number for each pair."""
-    first, second = np.triu_indices(len(own), 1)
-    return first, second, mixed(own[first] << np.uint64(32) | own[second]).view(np.int64)
+NO_TERM = 0xFFFFFFFF
+_FIRST, _SECOND = np.triu_indices(KEY_TERMS, 1)  # places of all pairs of terms, rarest first
 
 
-def _listed(batches: Iterable[pa.RecordBatch], ranks, kind: str) -> Iterator[pa.RecordBatch]:
+def _rare(batches: Iterable[pa.RecordBatch], ranks, kind: str) -> Iterator[pa.RecordBatch]:
+    """The rows with ``own``: ranks of their rarest terms in several tails, filled up to ``KEY_TERMS``."""
     for batch in batches:
-        found = [_pairs(rarest(tail, ranks.value, kind))[2] for tail in batch.column("tail").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["pair"])
+        own = np.full((batch.num_rows, KEY_TERMS), NO_TERM, np.uint32)
+        for i, tail in enumerate(batch.column("tail").to_pylist()):
+            found = rarest(tail, ranks.value, kind)
+            own[i, : len(found)] = found
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in own], pa.binary())], [*batch.schema.names, "own"])
 
 
-def _keyed(batches: Iterable[pa.RecordBatch], ranks, shared, kind: str) -> Iterator[pa.RecordBatch]:
+def _own(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("own").to_pylist()), np.uint32).reshape(-1, KEY_TERMS)
+
+
+def _pairs(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each pair of terms of each row, and whether the pair is one."""
+    numbers = mixed((own[:, _FIRST].astype(np.uint64) << np.uint64(32)) | own[:, _SECOND]).view(np.int64)
+    return numbers, own[:, _SECOND] != NO_TERM
+
+
+def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        numbers, real = _pairs(_own(batch))
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[real])], ["pair"])
+
+
+def _keyed(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """The rows with ``terms``: ranks of the rarest pair of terms in several tails, then of the others, so that they sort."""
     for batch in batches:
-        keys = []
-        for tail in batch.column("tail").to_pylist():
-            own = rarest(tail, ranks.value, kind)
-            first, second, pairs = _pairs(own)
-            hit = np.flatnonzero(in_bit_map(shared.value, pairs))
-            if len(hit):
-                two = [first[hit[0]], second[hit[0]]]
-                own = np.append(own[two], np.delete(own, two))
-            key = np.append(own, np.full(KEY_TERMS - len(own), 0xFFFFFFFF, np.uint64))
-            keys.append(key.astype(">u4").tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "terms"])
+        own = _own(batch)
+        numbers, real = _pairs(own)
+        hit = real & in_bit_map(shared.value, numbers)
+        best = hit.argmax(1)
+        paired = hit[np.arange(len(own)), best]
+        places = np.arange(KEY_TERMS)[None, :].repeat(len(own), 0)
+        first, second = _FIRST[best][:, None], _SECOND[best][:, None]
+        order = np.where(paired[:, None], np.where(places == first, -2, np.where(places == second, -1, places)), places)
+        keys = np.take_along_axis(own, np.argsort(order, 1, kind="stable"), 1).astype(">u4")
+        names = [n for n in batch.schema.names if n != "own"]
+        yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array([k.tobytes() for k in keys], pa.binary())], [*names, "terms"])
 
 
 def cut_at(keys: list[bytes], mean: int) -> int:
@@ -377,9 +395,11 @@ def pack(
     # as many counts as the tokenizer has ids
     counts = tokenised.select("tail").mapInArrow(lambda batches: _counted(batches, kind), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     ranks = docs.sparkSession.sparkContext.broadcast(rarity({r.term: r.n for r in counts.collect()}))
-    pairs = tokenised.select("tail").mapInArrow(lambda batches: _listed(batches, ranks, kind), "pair long")
+    # kept, since three later passes read it (pairs, the sample that the range sort draws, the sort itself)
+    rare = cut_lineage(tokenised.mapInArrow(lambda batches: _rare(batches, ranks, kind), f"{fields}, own binary"))
+    pairs = rare.select("own").mapInArrow(_listed, "pair long")
     shared = bit_map(pairs.groupBy("pair").count().filter("count > 1").select("pair"), "pair", PAIR_BITS)
-    keyed = tokenised.mapInArrow(lambda batches: _keyed(batches, ranks, shared, kind), f"{fields}, terms binary")
+    keyed = rare.mapInArrow(lambda batches: _keyed(batches, shared), f"{fields}, terms binary")
     # rows of one key are many where texts are copies, so the salt lets them be cut
     dealt = keyed.repartitionByRange("terms", "salt").sortWithinPartitions("terms", "salt")
     return dealt.mapInArrow(lambda batches: _sharded(batches, window, kind, shard_docs), PIECES)
