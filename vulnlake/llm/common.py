@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 from collections.abc import Iterable, Iterator
 
@@ -196,6 +197,16 @@ def shingle_hashes(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.nda
     return out, of, at, words, count
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of steps that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a driver with little to do may not do for half an hour; a job
+    of many rounds would keep the files of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected(spark: SparkSession, links: DataFrame, most: int = 60) -> DataFrame:
     """Smallest member of every connected component: rows (node, component) of the nodes in ``links`` (a, b).
 
@@ -220,6 +231,8 @@ def connected(spark: SparkSession, links: DataFrame, most: int = 60) -> DataFram
         if tuple(now) == before:
             break
         before = tuple(now)
+        del both, least, large, low, small
+        forget(spark)
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
