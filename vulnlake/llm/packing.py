@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import bit_map, cut_lineage, in_bit_map, mixed, pieces
+from vulnlake.llm.common import bit_map, cut_lineage, give_back, in_bit_map, mixed, pieces
 
 WINDOW = 2048
 END_ID = 1
@@ -305,6 +305,7 @@ def _pairs(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         numbers, real = _pairs(_own(batch))
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(numbers[real])], ["pair"])
 
 

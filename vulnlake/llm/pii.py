@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.llm.common import plain_names, texts_of
+from vulnlake.llm.common import pieces, plain_names, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("id_number", "name", "secret")
@@ -229,7 +229,7 @@ def fit(counts: dict[int, int], threshold: float = 0.5, l2: float = 0.02) -> Mod
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[int, int] = {}
-    for batch in batches:
+    for batch in pieces(batches, "text"):
         for text in texts_of(batch.column("text")):
             for c in candidates(text):
                 counts[c.code()] = counts.get(c.code(), 0) + 1
@@ -303,7 +303,7 @@ def redact(text: str, model: Model) -> str:
 
 
 def _redacted(batches: Iterable[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, f"c{at}"):
         new = pa.array([x if x is None else redact(x, model) for x in batch.column(at).to_pylist()], pa.string())
         yield batch.set_column(at, batch.schema.field(at).name, new)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vulnlake.llm.common import texts_of, whole_row
+from vulnlake.llm.common import pieces, texts_of, whole_row
 from vulnlake.session import cut_lineage
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -179,7 +179,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFra
 
 
 def _counted(batches: Iterable[pa.RecordBatch], folds: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, "text"):
         texts = texts_of(batch.column(3))
         counts = [tokens_of(t) for t in texts]
         yield pa.RecordBatch.from_arrays(
@@ -243,7 +243,7 @@ def train(
 
 def _scored(batches: Iterable[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
     names = [f"p_{n}" for n in chain.names]
-    for batch in batches:
+    for batch in pieces(batches, "_text"):
         x = np.zeros((batch.num_rows, len(chain.vocabulary)))
         if chain.links:
             for i, text in enumerate(texts_of(batch.column(batch.schema.get_field_index("_text")))):
