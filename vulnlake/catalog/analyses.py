@@ -13,6 +13,7 @@ from vulnlake.operators import pruning as P
 from vulnlake.operators import statistics as S
 from vulnlake.operators import tables as TB
 from vulnlake.operators.keyed import with_position
+from vulnlake.operators.products import ProductPairs
 from vulnlake.operators.ranking import top_scored
 from vulnlake.plans import analyses as A
 from vulnlake.plans.jobs import shuffled_work
@@ -34,6 +35,11 @@ METHOD_FREQ = """SELECT fx.repo_url AS method_project, sum(mm.n * cc.n)::BIGINT
   GROUP BY fx.repo_url"""
 
 
+def project_pairs(d: Data) -> ProductPairs:
+    """The pairs of ``v_cve_project`` as the two tables that they come from."""
+    return ProductPairs(d("v_cpe_project"), d("v_cve_cpe"))
+
+
 def _frequencies(d: Data):
     fixes, commits, files = d("v_fixes"), d("v_commits"), d("v_file_change")
     return (
@@ -131,7 +137,7 @@ def _(d):
     SELECT cve, url FROM (SELECT cve_id AS cve, repo_url AS url FROM v_fixes UNION ALL SELECT cve, project_url FROM v_cve_project) b
     GROUP BY cve, url""")
 def _(d):
-    return A.open_source_cves(d("v_fixes"), d("v_cve_project"))
+    return A.open_source_cves(d("v_fixes"), project_pairs(d))
 
 
 @query("set_02_class_or_description", """
@@ -244,7 +250,7 @@ def _(d):
 def _(d):
     from vulnlake.plans.jobs import fixed_pairs
 
-    return fixed_pairs(d("v_cve_project"), d("v_fixes")).select("cve", "project_url")
+    return fixed_pairs(project_pairs(d), d("v_fixes")).select("cve", "project_url")
 
 
 @query("joi_17_commits_not_cached", """
@@ -288,7 +294,7 @@ def _(d):
     SELECT cve_id FROM v_cve c WHERE EXISTS (SELECT 1 FROM v_cve_project p WHERE p.cve = c.cve_id)""")
 def _(d):
     return d("v_cve").select("cve_id").join(
-        d("v_cve_project").select(F.col("cve").alias("cve_id")), "cve_id", "left_semi")
+        project_pairs(d).cves().select(F.col("cve").alias("cve_id")), "cve_id", "left_semi")
 
 
 @query("joi_23_commits_with_advisory", """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vulnlake.functions.urls import any_of, last_part
 from vulnlake.operators.keyed import with_position
+from vulnlake.operators.products import ProductPairs
 
 
 def single_line_fixes(files: DataFrame, commits: DataFrame, fixes: DataFrame, cve: DataFrame, cwe: DataFrame) -> DataFrame:
@@ -97,12 +98,16 @@ def side_by_side(commit: DataFrame, file: DataFrame, method: DataFrame) -> DataF
     return joined.select("pos", *names, *counts)
 
 
-def open_source_cves(fixes: DataFrame, projects: DataFrame) -> DataFrame:
-    return (
-        fixes.select(F.col("cve_id").alias("cve"), F.col("repo_url").alias("url"))
-        .union(projects.select("cve", F.col("project_url").alias("url")))
-        .distinct()
-    )
+def open_source_cves(fixes: DataFrame, projects: DataFrame | ProductPairs) -> DataFrame:
+    """(CVE, repository) of fixes and project links, once."""
+    fixed = fixes.select(F.col("cve_id").alias("cve"), F.col("repo_url").alias("url"))
+    if not isinstance(projects, ProductPairs):
+        return fixed.union(projects.select("cve", F.col("project_url").alias("url"))).distinct()
+    # product pairs stand once each, so only the fixes outside them are looked for
+    known = projects.among(fixed.withColumnRenamed("url", "project_url"))
+    same = F.col("cve").eqNullSafe(F.col("_cve")) & F.col("url").eqNullSafe(F.col("_url"))
+    alone = fixed.distinct().join(known.toDF("_cve", "_url"), same, "left_anti")
+    return projects.rows().select("cve", F.col("project_url").alias("url")).union(alone)
 
 
 def cves_of(cwe: DataFrame, cve: DataFrame, cwe_ids: list[str], phrases: list[str]) -> DataFrame:
