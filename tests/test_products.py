@@ -55,18 +55,23 @@ def shuffled_rows(df) -> int:
     """Rows that all shuffles of a plan wrote."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of some size
     try:
+        df = df.select("*")  # planned anew
         plan = df._jdf.queryExecution().executedPlan()
         df._jdf.queryExecution().toRdd().count()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
     def walk(node):
         own = node.metrics().get("shuffleRecordsWritten")
         own = own.get().value() if node.nodeName() == "Exchange" and own.isDefined() else 0
         return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
 
-    return walk(plan)
+    sent = walk(plan)
+    assert sent > 0
+    return sent
 
 
 def test_pairs_are_not_shuffled(spark):
