@@ -41,12 +41,7 @@ def project_pairs(d: Data) -> ProductPairs:
 
 
 def _frequencies(d: Data):
-    fixes, commits, files = d("v_fixes"), d("v_commits"), d("v_file_change")
-    return (
-        A.commit_frequency(fixes, commits),
-        A.file_frequency(fixes, commits, files),
-        A.method_frequency(fixes, commits, files, d("v_method_change")),
-    )
+    return A.frequencies(d("v_fixes"), d("v_commits"), d("v_file_change"), d("v_method_change"))
 
 
 @query("job_09_commit_frequency", COMMIT_FREQ)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vulnlake.functions.urls import any_of, last_part
 from vulnlake.operators.keyed import with_position
 from vulnlake.operators.products import ProductPairs
+from vulnlake.session import cut_lineage
 
 
 def single_line_fixes(files: DataFrame, commits: DataFrame, fixes: DataFrame, cve: DataFrame, cwe: DataFrame) -> DataFrame:
@@ -66,6 +67,27 @@ def method_frequency(fixes: DataFrame, commits: DataFrame, files: DataFrame, met
     )
 
 
+def frequencies(
+    fixes: DataFrame, commits: DataFrame, files: DataFrame, methods: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`commit_frequency`, :func:`file_frequency` and :func:`method_frequency` in one pass.
+
+    Files are counted once, with their methods; fixes meet the counts of their hash once.  Only the sums, a row for each
+    repository, are kept for the three lists.  A repository is in a list if any of its fixes has a match.
+    """
+    per_method = methods.groupBy("file_change_id").agg(F.count("*").alias("_m"))
+    per_file = files.select("hash", "file_change_id").join(per_method, "file_change_id", "left")
+    per_hash = per_file.groupBy("hash").agg(F.count("*").alias("_n"), F.sum("_m").alias("_m"))
+    stored = _per_hash(commits, "_c").join(per_hash, "hash", "left")
+    fix = F.col("_c").cast("long")
+    met = fixes.select("repo_url", "hash").join(stored, "hash")
+    sums = cut_lineage(met.groupBy("repo_url").agg(
+        F.sum(fix).alias("commit_count"), F.sum(fix * F.col("_n")).alias("file_count"), F.sum(fix * F.col("_m")).alias("method_count")))
+    return tuple(
+        sums.filter(F.col(f"{kind}_count").isNotNull()).select(F.col("repo_url").alias(f"{kind}_project"), f"{kind}_count")
+        for kind in ("commit", "file", "method"))
+
+
 def merged_frequencies(commit: DataFrame, file: DataFrame, method: DataFrame) -> DataFrame:
     """The three counts side by side for projects that have all of them."""
     return (
