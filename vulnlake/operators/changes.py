@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnlake.functions.text import language, line_range
+from vulnlake.functions.text import language, line_range, packed, unpacked
 
 LINE_BIN = 100
 
@@ -14,25 +14,33 @@ def changed_methods(lines: DataFrame, methods: DataFrame, file: str, side: str |
     """Methods whose span holds at least one changed line, each once.
 
     ``lines`` has ``(file, [side,] line)``, ``methods`` ``(file, [side,] start_line, end_line, ..)``.  Lines and
-    spans are cut into bins, so the join is on equal keys and a large file spreads over many bins; a method
-    needs a line only once, so repeated lines are dropped before the join.
+    spans are cut into bins, so the join is on equal keys and a large file spreads over many bins.  The lines of a bin
+    are one row with at most ``LINE_BIN`` of them.  Methods of one bin are made distinct where they are joined; only
+    those that reach over several bins are shuffled again.
     """
-    keys = [file] + ([side] if side else [])
-    binned_lines = (
-        lines.select(*keys, F.col("line").alias("_line")).distinct()
-        .withColumn("_bin", F.floor(F.col("_line") / LINE_BIN))
+    ids = [c for c, kind in methods.dtypes if kind == "string" and (c == file or c.endswith("_id"))]
+    at = F.col("line")
+    keys = {
+        "_file": packed(F.col(file)) if file in ids else F.col(file),
+        "_side": F.coalesce(F.concat(F.lit("="), F.col(side)), F.lit("")) if side else F.lit(""),
+    }
+    changed = (
+        lines.select(*[k.alias(n) for n, k in keys.items()], F.floor(at / LINE_BIN).alias("_bin"), at.alias("_line"))
+        .groupBy("_file", "_side", "_bin").agg(F.collect_set("_line").alias("_lines"))
     )
-    binned_methods = methods.withColumn(
-        "_bin",
-        F.explode(F.sequence(F.floor(F.col("start_line") / LINE_BIN), F.floor(F.col("end_line") / LINE_BIN))),
-    )
-    hit = F.col("_line").between(F.col("start_line"), F.col("end_line"))
-    conditions = [binned_methods[k].eqNullSafe(binned_lines[k]) if k == side else binned_methods[k] == binned_lines[k]
-                  for k in keys]
-    on = (binned_methods["_bin"] == binned_lines["_bin"]) & hit
-    for c in conditions:
-        on = on & c
-    return binned_methods.join(binned_lines, on, "left_semi").drop("_bin").distinct()
+    low, high = F.floor(F.col("start_line") / LINE_BIN), F.floor(F.col("end_line") / LINE_BIN)
+    spans = methods.withColumns({"_file": keys["_file"], "_side": keys["_side"], **{c: packed(F.col(c)) for c in ids if c != file}})
+    spans = spans.drop(file).withColumn("_bin", F.explode(F.sequence(low, high)))
+    hit = F.exists("_lines", lambda line: line.between(F.col("start_line"), F.col("end_line")))
+
+    def found(rows: DataFrame) -> DataFrame:
+        return rows.join(changed, ["_file", "_side", "_bin"]).filter(hit).drop("_lines")
+
+    once = found(spans.filter(low == high)).distinct()
+    several = found(spans.filter(low < high)).drop("_bin").distinct()
+    both = once.drop("_bin").unionByName(several)
+    back = {c: unpacked(F.col(c)) for c in ids if c != file} | {file: unpacked(F.col("_file")) if file in ids else F.col("_file")}
+    return both.withColumns(back).select(*methods.columns)
 
 
 def file_rows(commits: DataFrame) -> DataFrame:
