@@ -606,3 +606,25 @@ def test_neighbours_of_huge_and_tiny_vectors(spark):
             assert got[q, 1][0] == int(near.argmax()) and got[q, 1][1] == pytest.approx(near.max(), abs=1e-12)
     nothing = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert neighbours.nearest(nothing, nothing.vec_id % 50 == 0).count() == 0
+
+
+def test_digests_hash_a_piece_of_texts_at_a_time(monkeypatch):
+    seen = []
+    plain = substrings.RangeHash
+    monkeypatch.setattr(substrings, "RangeHash", lambda data, seed: seen.append(len(data)) or plain(data, seed))
+    batch = pa.record_batch({"doc_id": pa.array(range(40), pa.int64()), "text": ["x" * 200_000] * 39 + [None]})
+    out = list(substrings._digested([batch], None, False))
+    assert sum(b.num_rows for b in out) == 40
+    assert max(seen) <= 1 << 20
+
+
+def test_packed_hashes_keep_every_repeated_one(spark):
+    from vulnlake.llm.common import PACKED, in_bit_map, packed_hashes, repeated_hashes
+
+    values = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 5000)
+    parts = [values, values[:100], np.repeat(values[100:101], 5000)]
+    assert sum(len(x) for b in packed_hashes(iter(parts), 8) for x in b.column("data").to_pylist()) == 4 * (5000 + 101)
+    rows = spark.range(3).repartition(3).mapInArrow(
+        lambda bs: packed_hashes((parts[i] for b in bs for i in b.column("id").to_pylist()), 8), PACKED)
+    found = in_bit_map(repeated_hashes(rows, 1 << 26).value, values)
+    assert found[:101].all() and found[101:].sum() < 5
