@@ -628,3 +628,13 @@ def test_packed_hashes_keep_every_repeated_one(spark):
         lambda bs: packed_hashes((parts[i] for b in bs for i in b.column("id").to_pylist()), 8), PACKED)
     found = in_bit_map(repeated_hashes(rows, 1 << 26).value, values)
     assert found[:101].all() and found[101:].sum() < 5
+
+
+def test_few_new_words_are_tokenised_together(monkeypatch):
+    words = packing.WordIds(packing.default_tokenizer())
+    plain, most = words._ids, []
+    monkeypatch.setattr(words, "_ids", lambda text: most.append(len(text.split())) or plain(text))
+    text = " ".join(f"w{i}" for i in range(30_000))
+    got = next(words.batch(pa.array([text])))
+    assert max(most) < 2 * packing.LEARNED
+    assert got.tolist() == plain(text)

@@ -27,11 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnlake.llm.common import bit_map, cut_lineage, give_back, in_bit_map, mixed, pieces
+from vulnlake.session import arrow_batches
 
 WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 512
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
+LEARNED = 1 << 13  # words that are tokenised together
+BATCH_ROWS = 2000  # texts that go to a tokenising task at once
 SIGN = "^"
 QUERY_TERMS = 16
 KEY_TERMS = 12
@@ -80,8 +83,11 @@ class WordIds:
                 self.known[w] = np.asarray(self._ids(w), self.kind).tobytes()
             else:
                 new.append(w)
-        if not new:
-            return
+        for at in range(0, len(new), LEARNED):
+            self._learn_together(new[at : at + LEARNED])
+
+    def _learn_together(self, new: list[str]) -> None:
+        """The tokenizer holds some hundred bytes for each token of what it gets at once, so it gets a few words."""
         ids = np.asarray(self._ids(f" {SIGN} ".join(new)), self.kind)
         signs = np.flatnonzero(ids == self.sign)
         if len(signs) != len(new) - 1:
@@ -392,7 +398,8 @@ def pack(
         F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id()).alias("salt"), F.col("doc_id").cast("long").alias("doc_id"), "text",
     )
     fields = "salt long, doc_id long, n_tokens long, crcs array<long>, tail binary"
-    tokenised = cut_lineage(rows.mapInArrow(lambda batches: _tokenised(batches, path, window, end_id), fields))
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        tokenised = cut_lineage(rows.mapInArrow(lambda batches: _tokenised(batches, path, window, end_id), fields))
     # as many counts as the tokenizer has ids
     counts = tokenised.select("tail").mapInArrow(lambda batches: _counted(batches, kind), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     ranks = docs.sparkSession.sparkContext.broadcast(rarity({r.term: r.n for r in counts.collect()}))
