@@ -638,3 +638,14 @@ def test_few_new_words_are_tokenised_together(monkeypatch):
     got = next(words.batch(pa.array([text])))
     assert max(most) < 2 * packing.LEARNED
     assert got.tolist() == plain(text)
+
+
+def test_keys_of_all_windows_are_those_of_the_windows():
+    from types import SimpleNamespace
+
+    text = " ".join(f"w{i * i % 97}" for i in range(400))
+    batch = pa.record_batch({"doc_id": pa.array([1, 2], pa.int64()), "text": [text, None]})
+    every = SimpleNamespace(value=np.full(1 << 10, 255, np.uint8))
+    keys = np.concatenate(list(passages._window_keys([batch], 46, 2)))
+    rows = pa.Table.from_batches(passages._windows([batch], 46, 2, every, True))
+    assert len(keys) and sorted(keys.tolist()) == sorted(rows.column("key").to_pylist())
