@@ -570,6 +570,24 @@ def test_long_texts_with_a_common_page_are_no_candidates(spark, monkeypatch):
     assert figures[1] < 6 * figures[0] + 1000, figures
 
 
+def test_large_groups_that_quote_a_page_meet_by_rare_tokens(spark, monkeypatch):
+    """Differences from a pivot are not formed for sets that share a page and little else; what links is still found."""
+    asked = []
+    across = jaccard_join.Join.across
+    monkeypatch.setattr(jaccard_join, "FEW", 5)
+    monkeypatch.setattr(jaccard_join.Join, "across", lambda self, rows, found: asked.append(rows.count()) or across(self, rows, found))
+    texts = _long_texts(30, 300, 0.7)
+    own = random.Random(4)
+    for t in (3, 5, 5, 5, 9):  # copies by steps that a pivot does not link
+        words = texts[t].split()
+        for i in own.sample(range(210, 300), 3):
+            words[i] = f"new{own.randrange(10**6)}"
+        texts.append(" ".join(words))
+    got = jaccard_join.similar_documents(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == components(texts)
+    assert sum(asked) == 0, asked
+
+
 def test_folded_sketches_bound_the_difference(spark):
     rng = random.Random(6)
     texts = []
