@@ -50,7 +50,7 @@ class Terms:
         return found
 
 
-_SEARCHED: dict[int, Terms] = {}  # of the broadcasts that this worker has
+_SEARCHED: list[tuple[dict, Terms]] = []  # the last broadcast that this worker searched for
 
 
 def projects_in(projects: Broadcast) -> Callable[[Column], Column]:
@@ -58,10 +58,9 @@ def projects_in(projects: Broadcast) -> Callable[[Column], Column]:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def found(text: pa.Array) -> pa.Array:
-        if id(projects.value) not in _SEARCHED:
-            _SEARCHED.clear()
-            _SEARCHED[id(projects.value)] = Terms(k.encode() for k in projects.value)
-        terms = _SEARCHED[id(projects.value)]
+        if not _SEARCHED or _SEARCHED[0][0] is not projects.value:
+            _SEARCHED[:] = [(projects.value, Terms(k.encode() for k in projects.value))]
+        terms = _SEARCHED[0][1]
         texts = text.cast(pa.binary()).dictionary_encode()
         lists = [
             list(dict.fromkeys(p for k in sorted(terms.within(whole)) for p in projects.value[k.decode()]))
